@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +94,14 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches with rows in them."""
     return (b for b in rows if b.num_rows)
+
+
+def with_row_id(df: DataFrame, file: str, index: str) -> DataFrame:
+    """Add two longs that name a row for good: its file (hashed path) and its place there.
+
+    Rows of a frame that isn't read from files are first written to the shared folder.
+    """
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index))
+    except AnalysisException:
+        return with_row_id(materialize(df, "rows"), file, index)
