@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query and the module that has it.
 _QUERIES = {
+    "op1_mix_sources": "mixing",
     "op9_quality_rules": "quality_rules",
     "op10_best_fit_packing": "packing",
 }
