@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op1_mix_sources": "mixing",
     "op3_quality_classifier": "quality_model",
+    "op4_token_counts": "token_counts",
     "op7_simhash_near_dedup": "near_dedup",
     "op8_avi_media": "media",
     "op9_quality_rules": "quality_rules",
