@@ -1,60 +1,78 @@
-"""Token ids of whole texts with a public word-level BPE vocabulary, cached by word."""
+"""Token ids of whole texts with a public word-level BPE vocabulary."""
 
 from __future__ import annotations
 
 import os
-import sys
-from array import array
+import re
 
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 400_000
-#: Words that are encoded in one call.
-_CALL = 20_000
+import numpy as np
+
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A word with a character whose normal form, lower case or class isn't plain, or with a special token in it.
+_EXOTIC = re.compile(rf"[^\x20-\x7e\n\t\r{_LETTER}]|<\|")
+_EXOTIC_WORD = re.compile(rf"([^ \n\t\r]*(?:[^\x20-\x7e\n\t\r{_LETTER}]|<\|)[^ \n\t\r]*)")
+#: What a text of letters, spaces, single dots and commas doesn't have.
+_ODD = re.compile(rf"[^{_LETTER} \n.,]|[.,][.,]")
+#: Units of a lower-case text without exotic words, as the vocabulary's own rule has them.
+_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \n\t\ra-z0-9ß-öø-ÿ]+")
+#: Exotic words whose ids a worker keeps.
+CACHE_WORDS = 200_000
 
 
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit integers, equal to encoding the whole text at once.
 
-    The vocabulary drops white space and never joins characters across it, so that a text's ids are
-    those of its space-separated words in turn.
+    The vocabulary drops white space, never joins characters across it, and ends each word with a
+    token of its own kind. A space after each word can therefore stand for the word's end, and the
+    vocabulary is then one of plain byte strings whose ids are their merge ranks, which a byte-level
+    encoder applies to text of Latin letters. Words with other characters go to the full tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._ids: dict[str, bytes] = {"": b""}
+        self._whole = Tokenizer.from_file(path)
+        vocabulary = self._whole.get_vocab(with_added_tokens=False)
+        self._bytes = Encoding(path, pat_str="[^ ]+ ", mergeable_ranks=_byte_ranks(vocabulary), special_tokens={})
+        self._exotic: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        units = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join([self._ids[u] for u in units])
-        except KeyError:
-            return b"".join([self._learned(units[i : i + _CALL]) for i in range(0, len(units), _CALL)])
-
-    def _learned(self, units: list[str]) -> bytes:
-        known = self._ids
-        if len(known) > CACHE_WORDS:
-            known = self._ids = {"": b""}
-        parts = {u: self._parts(u) for u in set(units) if u not in known}
-        missing = list({p for ps in parts.values() for p in ps if p not in known})
-        for word, found in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            ids = array("I", found.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            known[word] = ids.tobytes()
-        for u, ps in parts.items():
-            known[u] = b"".join([known[p] for p in ps])
-        return b"".join([known[u] for u in units])
-
-    @staticmethod
-    def _parts(unit: str) -> tuple[str, ...]:
-        """A final dot or comma is a token run of its own after a letter or digit; plain ASCII words count in lower case."""
-        stem, end = (unit[:-1], unit[-1:]) if unit[-1] in ".," and unit[:-1] and unit[-2].isalnum() else (unit, "")
-        if stem.isascii() and stem.isalpha():
-            stem = stem.lower()
-        return (stem, end) if end else (stem,)
+        if not _EXOTIC.search(text):
+            return self._plain(text)
+        parts = _EXOTIC_WORD.split(text)
+        return b"".join([self._word(part) if i & 1 else self._plain(part) for i, part in enumerate(parts)])
+
+    def _plain(self, text: str) -> bytes:
+        if _ODD.search(text):
+            text = " ".join(_UNITS.findall(text.lower()))
+        else:
+            text = text.lower().replace("\n", " ").replace(",", " , ").replace(".", " . ")
+        return self._bytes.encode_to_numpy(text + " ", disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word not in self._exotic:
+            if len(self._exotic) > CACHE_WORDS:
+                self._exotic.clear()
+            self._exotic[word] = np.array(self._whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._exotic[word]
+
+
+def _byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """Byte strings of the tokens that aren't special, a space for the end of a word.
+
+    The vocabulary writes printable characters of Latin-1 as themselves and the other bytes, in
+    order, as the characters from 256 on.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    ranks = {}
+    for token, rank in vocabulary.items():
+        stem = token.removesuffix("</w>")
+        if not token.startswith("<|"):
+            ranks[bytes(byte[c] for c in stem) + (b" " if stem != token else b"")] = rank
+    return ranks
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
