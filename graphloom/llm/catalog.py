@@ -12,6 +12,7 @@ _QUERIES = {
     "op1_mix_sources": "mixing",
     "op3_quality_classifier": "quality_model",
     "op4_token_counts": "token_counts",
+    "op5_warc": "warc",
     "op6_html_extraction": "html_extract",
     "op7_simhash_near_dedup": "near_dedup",
     "op8_avi_media": "media",
