@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query and the module that has it.
 _QUERIES = {
     "op1_mix_sources": "mixing",
+    "op2_line_dedup": "line_dedup",
     "op3_quality_classifier": "quality_model",
     "op4_token_counts": "token_counts",
     "op5_warc": "warc",
