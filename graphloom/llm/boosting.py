@@ -41,8 +41,8 @@ def fit(x: np.ndarray, label: np.ndarray, trees: int = 60, depth: int = 4, rate:
     """``least``: rows in a leaf; ``penalty``: L2 on leaf values. Without both labels the score is constant."""
     inner = (1 << depth) - 1
     positive = label.mean() if len(label) else 0.5
-    if not 0 < positive < 1:
-        return Boosted([], np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)), {0: -5.0, 1: 5.0}.get(positive, 0.0))
+    if not len(label) or not 0 < positive < 1:
+        return Boosted([], np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)), {0.0: -5.0, 1.0: 5.0}.get(float(positive), 0.0))
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1)
     base = float(np.log(positive / (1 - positive)))
