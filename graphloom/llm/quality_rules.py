@@ -41,7 +41,7 @@ RULES = (
     Rule("symbol_ratio", 0.0, 0.1),
     Rule("exclamation_ratio", 0.0, 0.25),
     Rule("stop_word_ratio", 0.03, 1.0),
-    Rule("duplicate_line_ratio", 0.0, 0.3),
+    Rule("duplicate_line_ratio", 0.0, 0.5),
     Rule("repeat_word_ratio", 0.0, 0.3),
 )
 MIN_WORDS = 50
