@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -20,6 +21,8 @@ WORD = rf"[^{SPACE}]+"
 
 #: Largest Arrow batch that is handed to Python, so that long texts don't add up.
 ARROW_BATCH = 8 << 20
+#: Seconds that Spark's cleaner gets to delete shuffle files.
+CLEANING_S = 1.0
 
 
 def prepare(spark: SparkSession) -> None:
@@ -60,9 +63,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished phases, which else wait for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner delete shuffle files of finished phases, which else wait for the driver's next collection, and give it time."""
+    for _ in range(2):  # what just ended is let go a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if not spark.sparkContext.master.startswith("local["):
+            time.sleep(CLEANING_S)
 
 
 def words(text: Column) -> Column:

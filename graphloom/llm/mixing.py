@@ -155,7 +155,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     at = {c.lower(): f"c{i}" for i, c in enumerate(names)}
     prepare(docs.sparkSession)
     chosen = takes(_measured(marked, at[doc_id.lower()], at[text.lower()], at[source.lower()]), **how).where("times > 0")
-    drawn = marked.join(chosen.select("row_file", "row_index", "times"), ["row_file", "row_index"])
+    drawn = marked.join(chosen.select("row_file", "row_index", "times").hint("merge"), ["row_file", "row_index"])
     drawn = drawn.withColumn("pass_", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return drawn.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 

@@ -88,7 +88,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     printed = materialize(with_fingerprints(marked, at[text.lower()], ["row_file", "row_index", ident]), "fingerprints")
     order = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), F.col("row_file").alias("f"), F.col("row_index").alias("i"))
     kept = components(printed, order).where(F.col("least").isNull() | (F.col("least") == order)).select("row_file", "row_index")
-    return marked.join(kept, ["row_file", "row_index"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return marked.join(kept.hint("merge"), ["row_file", "row_index"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
