@@ -20,6 +20,7 @@ BOILERPLATE_WORDS = frozenset(
     "sponsor sponsored subscribe tags toolbar topbar widget".split()
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+TITLES = frozenset("h1 h2".split())
 CONTENT_WORDS = frozenset("article body content entry main page post story text".split())
 
 _TOKEN = re.compile(
@@ -36,11 +37,17 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Page:
-    """blocks: (text, container) in page order; parent and path of each container, by number. Container 0 is the page."""
+    """blocks: (text, container) in page order; parent and path of each container, by number. Container 0 is the page.
+
+    links: of each block the characters that are in links, headings apart, and how many links it has.
+    """
 
     def __init__(self, source: str):
         self.parent, self.path, self.bonus = [-1], [""], [1.0]
+        self.tag = [""]
         self.blocks: list[tuple[str, int]] = []
+        self.links: list[tuple[int, int]] = []
+        self._linked, self._n_links, self._anchors, self._headings = 0, 0, 0, 0
         self._stack: list[tuple[str, int, bool]] = []
         self._container, self._hidden = 0, 0
         self._parts: list[str] = []
@@ -49,6 +56,8 @@ class Page:
             token = _TOKEN.search(source, at)
             if not self._hidden and (text := source[at : token.start() if token else len(source)]):
                 self._parts.append(text)
+                if self._anchors and not self._headings:
+                    self._linked += len(" ".join(text.split()))
             if not token:
                 break
             at = token.end()
@@ -69,11 +78,15 @@ class Page:
             text = " ".join(html.unescape("".join(self._parts)).split())
             if text:
                 self.blocks.append((text, self._container))
+                self.links.append((self._linked, self._n_links))
             self._parts = []
+        self._linked = self._n_links = 0
 
     def _pop(self, height: int) -> None:
         while len(self._stack) > height:
-            _, container, hidden = self._stack.pop()
+            name, container, hidden = self._stack.pop()
+            self._anchors -= name == "a"
+            self._headings -= name in TITLES
             self._hidden -= hidden
             self._container = container
 
@@ -108,10 +121,14 @@ class Page:
             or found.get("role", "").lower() in BOILERPLATE_ROLES
         )
         self._stack.append((name, self._container, hidden))
+        self._anchors += name == "a"
+        self._n_links += name == "a"
+        self._headings += name in TITLES
         self._hidden += hidden
         if name in CONTAINERS and not self._hidden:
             classes = ".".join(sorted(_DIGITS.sub("#", found.get("class", "").lower()).split()))
             self.parent.append(self._container)
+            self.tag.append(name)
             self.path.append(f"{self.path[self._container]}/{name}" + f".{classes}" * bool(classes))
             self.bonus.append((1.5 if name in ("article", "main") else 1.0) * (1.25 if words & CONTENT_WORDS else 1.0))
             self._container = len(self.path) - 1
@@ -146,14 +163,67 @@ class Page:
         total = sum(by_path.values())
         return [(p, s / total) for p, s in sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:most] if s > 0]
 
+    def _within(self, roots: list[bool]) -> list[bool]:
+        """The containers marked in ``roots`` and all inside them."""
+        inside = list(roots)
+        for i in range(1, len(inside)):
+            inside[i] = inside[i] or inside[self.parent[i]]
+        return inside
+
+    def _around(self, chosen: list[bool]) -> tuple[list[bool], list[bool]]:
+        """Containers whose text is whole the main text, and those around them that add all but lists of links.
+
+        A chosen container stands for the article or main it is in, and that for all articles or mains around
+        it. Outside of both it stands for the outermost container below the body, to which the body adds its
+        own blocks and sections: other columns of the page are not taken.
+        """
+        whole, more = list(chosen), [False] * len(chosen)
+        for i in range(1, len(chosen)):
+            if not chosen[i]:
+                continue
+            chain = [i]
+            while self.parent[chain[-1]] >= 0:
+                chain.append(self.parent[chain[-1]])
+            marked = [c for c in chain if self.tag[c] in ("article", "main")]
+            if marked:
+                whole[marked[0]] = True
+                more[marked[-1]] = True
+                continue
+            below = [c for c in chain if self.tag[c] not in ("", "body")]
+            if below:
+                more[below[-1]] = True
+                for c in (c for c in chain if self.tag[c] in ("", "body")):
+                    more[c] = True
+        inside, around = self._within(whole), list(more)
+        for i in range(1, len(around)):
+            up = self.parent[i]
+            around[i] = around[i] or (around[up] and (self.tag[up] not in ("", "body") or self.tag[i] in ("section", "blockquote")))
+        return inside, around
+
+    def _main_blocks(self, chosen: list[bool]) -> list[str]:
+        inside, around = self._around(chosen)
+        found: list[str] = []
+        run: list[str] = []  # blocks that are mostly links, and how many links they have
+        run_links = 0
+        for (text, container), (linked, links) in [*zip(self.blocks, self.links), (("", -1), (0, 0))]:
+            if container >= 0 and not inside[container] and around[container] and 2 * linked > len(text):
+                run.append(text)
+                run_links += links
+                continue
+            if run_links < 2:
+                found += run
+            run, run_links = [], 0
+            if container >= 0 and (inside[container] or around[container]):
+                found.append(text)
+        return found
+
     def text(self, path: str | None) -> str:
-        """Blocks in the containers of ``path``; where the page has none with text, in its own best container."""
+        """Main text around the containers of ``path``; where the page has none with text, around its own best container."""
         for chosen in (path, next(iter(self.votes(1)), (None,))[0], ""):
             if chosen is None:
                 continue
-            inside = [p == chosen for p in self.path]
-            for i in range(1, len(inside)):
-                inside[i] = inside[i] or inside[self.parent[i]]
-            if found := [text for text, container in self.blocks if inside[container]]:
-                return "\n".join(found)
+            roots = [p == chosen for p in self.path]
+            inside = self._within(roots)
+            if any(inside[container] for _, container in self.blocks):
+                return "\n".join(self._main_blocks(roots))
         return ""

@@ -121,6 +121,29 @@ def test_page_text(html, text):
     assert Page(html).text(None) == text
 
 
+LONG = "a long paragraph of the body " * 30
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<body><article><h1>T</h1><p>lead</p><div class=body><p>{LONG}</p></div></article>", f"T\nlead\n{LONG.strip()}"),
+        (f"<body><article><section class=intro>in</section><section class=main>{LONG}</section></article>", f"in\n{LONG.strip()}"),
+        (f"<main><h1><a href=x>T</a></h1><article><div class=text>{LONG}</div></article><ul><li><a href=a>one</a><li><a href=b>two</a></ul></main>", f"T\n{LONG.strip()}"),
+        (f"<body><div class=post><h1>T</h1><div>lead</div><div class=body>{LONG}</div><p><a href=a>x</a> <a href=b>y</a></p></div>", f"T\nlead\n{LONG.strip()}"),
+        (f"<body><h1>T</h1><section>in</section><section class=main>{LONG}</section><div>column</div>", f"T\nin\n{LONG.strip()}"),
+    ],
+)
+def test_text_around_the_best_container(html, text):
+    assert Page(html).text(None) == text
+
+
+def test_hosts_keep_headings_and_leads(spark):
+    data = [(i, f"http://h.example.org/{i}", f"<body><article><h1>T{i}</h1><p>lead</p><div class=body><p>{LONG * (i % 3)}end</p></div></article>") for i in range(6)]
+    found = {r["page_id"]: r["text"] for r in extract(pages(spark, data)).collect()}
+    assert all(found[i] == f"T{i}\nlead\n{LONG * (i % 3)}end" for i in range(6))
+
+
 @given(st.text(alphabet="<>/ab p='\"!-&;", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_any_text_is_read(html):
