@@ -13,12 +13,16 @@ INLINE = frozenset(
 )
 HEAD_ONLY = frozenset("base link meta script style title noscript template".split())
 CONTAINERS = frozenset("article main section div td body center blockquote".split())
-BOILERPLATE_TAGS = frozenset("head nav footer aside form button select option dialog menu object audio video canvas map figcaption fieldset".split())
+BOILERPLATE_TAGS = frozenset("head nav footer aside form button select option dialog menu object audio video canvas map fieldset".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments cookie cookies copyright disqus footer form gdpr header login masthead menu menubar "
     "modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related replies respond share sharing shoutbox sidebar signup skip social "
     "sponsor sponsored subscribe tags toolbar topbar widget".split()
 )
+#: Of these, words that the prose of an article has on its own elements as well.
+PROSE_WORDS = frozenset("banner copyright form header menu notice notification promo promotion related share sharing social tags".split())
+#: First parts of class names that say what an element has, has not or is, as in has-sidebar and no-comments.
+ABOUT_WORDS = frozenset("has hide is no non show with without".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 TITLES = frozenset("h1 h2".split())
 CONTENT_WORDS = frozenset("article body content entry main page post story text".split())
@@ -42,13 +46,18 @@ class Page:
     links: of each block the characters that are in links, headings apart, and how many links it has.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_class: bool = True):
+        self._by_class, self._any_by_class = by_class, False
+        #: Elements that their classes may hide: the one around each, whether a whole name matched, and whether it is prose of an article.
+        self._doubtful: list[tuple[int, bool, bool]] = [(0, False, False)]
+        self._doubt, self._in_doubt = 0, []
+        self._articles: list[tuple[int, str]] = []
         self.parent, self.path, self.bonus = [-1], [""], [1.0]
         self.tag = [""]
         self.blocks: list[tuple[str, int]] = []
         self.links: list[tuple[int, int]] = []
         self._linked, self._n_links, self._anchors, self._headings = 0, 0, 0, 0
-        self._stack: list[tuple[str, int, bool]] = []
+        self._stack: list[tuple[str, int, int, bool]] = []
         self._container, self._hidden = 0, 0
         self._parts: list[str] = []
         at = 0
@@ -72,6 +81,39 @@ class Page:
                 else:
                     self._open(name, rest)
         self._flush()
+        self._settle()
+        if not self.blocks and self._any_by_class:
+            self.__init__(source, False)
+
+    def _settle(self) -> None:
+        """Leave out the blocks of elements that their classes hide.
+
+        An element with an article or main in it, but for articles beside another one, is shown; so is one that
+        a part of a class name would hide though it has most of the page's text, and prose of an article that
+        isn't mostly links.
+        """
+        if len(self._doubtful) == 1:
+            return
+        size, linked = [0] * len(self._doubtful), [0] * len(self._doubtful)
+        for (text, _), (chars, _), doubt in zip(self.blocks, self.links, self._in_doubt):
+            size[doubt] += len(text)
+            linked[doubt] += chars
+        for i in range(len(size) - 1, 0, -1):
+            size[self._doubtful[i][0]] += size[i]
+            linked[self._doubtful[i][0]] += linked[i]
+        direct = {doubt for doubt, name in self._articles if name == "article"}
+        holds = set()
+        for doubt, name in self._articles:
+            while doubt and (name == "main" or self._doubtful[doubt][0] not in direct):
+                holds.add(doubt)
+                doubt = self._doubtful[doubt][0]
+        hidden = [False] * len(size)
+        for i, (around, whole, prose) in enumerate(self._doubtful[1:], 1):
+            shown = i in holds or (not whole and 2 * size[i] > size[0]) or (prose and 2 * linked[i] <= size[i])
+            hidden[i] = hidden[around] or not shown
+        kept = [not hidden[doubt] for doubt in self._in_doubt]
+        self.blocks = [b for b, k in zip(self.blocks, kept) if k]
+        self.links = [x for x, k in zip(self.links, kept) if k]
 
     def _flush(self) -> None:
         if self._parts:
@@ -79,12 +121,14 @@ class Page:
             if text:
                 self.blocks.append((text, self._container))
                 self.links.append((self._linked, self._n_links))
+                self._in_doubt.append(self._doubt)
             self._parts = []
         self._linked = self._n_links = 0
 
     def _pop(self, height: int) -> None:
         while len(self._stack) > height:
-            name, container, hidden = self._stack.pop()
+            name, container, doubt, hidden = self._stack.pop()
+            self._doubt = doubt
             self._anchors -= name == "a"
             self._headings -= name in TITLES
             self._hidden -= hidden
@@ -95,7 +139,7 @@ class Page:
             self._flush()
         for height in range(len(self._stack) - 1, -1, -1):
             if self._stack[height][0] == name:
-                if name not in INLINE or not any(n not in INLINE for n, _, _ in self._stack[height:]):
+                if name not in INLINE or not any(n not in INLINE for n, *_ in self._stack[height:]):
                     self._pop(height)
                 return
 
@@ -112,19 +156,28 @@ class Page:
             if name in VOID:
                 return
         found = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
-        words = {w.lower() for key in ("class", "id") for w in _NAME_PARTS.findall(found.get(key, ""))}
-        article = any(n in ("article", "main") for n, _, _ in self._stack)
-        hidden = (
-            name in BOILERPLATE_TAGS
-            or (name == "header" and not article)
-            or (name not in ("html", "body", "article", "main") and bool(words & BOILERPLATE_WORDS) and not (name in ("h1", "h2", "h3") and article))
-            or found.get("role", "").lower() in BOILERPLATE_ROLES
-        )
-        self._stack.append((name, self._container, hidden))
+        names = [n.lower() for key in ("class", "id") for n in found.get(key, "").split()]
+        words = {w for n in names for w in _NAME_PARTS.findall(n)}
+        article = any(n in ("article", "main") for n, *_ in self._stack)
+        hidden = name in BOILERPLATE_TAGS or (name == "header" and not article) or found.get("role", "").lower() in BOILERPLATE_ROLES
+        matched = self._matched(name, names, article) if words & BOILERPLATE_WORDS and self._by_class and not hidden else set()
+        doubt = self._doubt
+        if matched:
+            self._any_by_class = True
+            prose = article and matched <= PROSE_WORDS
+            if name in INLINE:
+                hidden = not prose
+            else:
+                self._doubtful.append((self._doubt, bool(matched & set(names)), prose))
+                doubt = len(self._doubtful) - 1
+        self._stack.append((name, self._container, self._doubt, hidden))
+        self._doubt = doubt
         self._anchors += name == "a"
         self._n_links += name == "a"
         self._headings += name in TITLES
         self._hidden += hidden
+        if name in ("article", "main") and not self._hidden and not words & BOILERPLATE_WORDS and not any(n == "article" for n, *_ in self._stack[:-1]):
+            self._articles.append((doubt, name))
         if name in CONTAINERS and not self._hidden:
             classes = ".".join(sorted(_DIGITS.sub("#", found.get("class", "").lower()).split()))
             self.parent.append(self._container)
@@ -133,6 +186,13 @@ class Page:
             self.bonus.append((1.5 if name in ("article", "main") else 1.0) * (1.25 if words & CONTENT_WORDS else 1.0))
             self._container = len(self.path) - 1
 
+    def _matched(self, name: str, names: list[str], article: bool) -> set[str]:
+        """Boilerplate words in the class names and id of an element that they may hide."""
+        if name in ("html", "body", "article", "main") or (name in ("h1", "h2", "h3") and article):
+            return set()
+        parts = [_NAME_PARTS.findall(n) for n in names]
+        return {w for p in parts if p and p[0] not in ABOUT_WORDS and p[-1] != "free" for w in p} & BOILERPLATE_WORDS
+
     def _imply(self, name: str) -> None:
         """Close what a start tag ends: a head at the first tag of the body, a paragraph at a block, items at the next."""
         if name not in HEAD_ONLY and self._stack and self._stack[-1][0] == "head":

@@ -138,6 +138,25 @@ def test_text_around_the_best_container(html, text):
     assert Page(html).text(None) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<div class='wrapper has-sidebar'><div class=post><p>{LONG}</p></div><div class=sidebar>s</div></div>", LONG.strip()),
+        (f"<div id=page class=header-fixed><div class=post><p>{LONG}</p></div></div><p>x</p>", f"{LONG.strip()}\nx"),
+        (f"<div class='content no-comments'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div class='site ad-free'><article>{LONG}</article></div>", LONG.strip()),
+        (f"<div class='widget'><article>{LONG}</article><div class=related><article>other</article></div></div><div class=nav>n</div>", LONG.strip()),
+        (f"<div class=banner><p>{LONG}</p></div>", LONG.strip()),
+        ("<article>a<p class=notice>b</p><p class=related>c</p><p class=tags>d <a href=x>e</a></p><div class=copyright>f</div><div class=share><a href=x>g</a></div><div class=comments>h</div></article>", "a\nb\nc\nd e\nf"),
+        ("<article>a <span class=notice>b</span> c<figure><img><figcaption>caption</figcaption></figure></article>", "a b c\ncaption"),
+        ("<article>a</article><div id=comments><article class=comment>c</article><article>d</article></div>", "a"),
+        (f"<article>a</article><div class=sidebar><p>{LONG}</p></div>", "a"),
+    ],
+)
+def test_classes_hide_no_content(html, text):
+    assert Page(html).text(None) == text
+
+
 def test_hosts_keep_headings_and_leads(spark):
     data = [(i, f"http://h.example.org/{i}", f"<body><article><h1>T{i}</h1><p>lead</p><div class=body><p>{LONG * (i % 3)}end</p></div></article>") for i in range(6)]
     found = {r["page_id"]: r["text"] for r in extract(pages(spark, data)).collect()}
