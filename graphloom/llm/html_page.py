@@ -7,7 +7,16 @@ import re
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements that are left out with all inside them, and of these the two where a slash ends a tag and tags of HTML end the element.
+SILENT = frozenset("svg math template noscript".split())
+FOREIGN = frozenset("svg math".split())
+#: Elements of svg and math that hold HTML.
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var "
+    "article aside footer header main nav section".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -36,6 +45,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for name in RAW}
+_SILENT_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in SILENT}
 _NAME_PARTS = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -59,6 +69,8 @@ class Page:
         self._linked, self._n_links, self._anchors, self._headings = 0, 0, 0, 0
         self._stack: list[tuple[str, int, int, bool]] = []
         self._container, self._hidden = 0, 0
+        self._silent = -1  # height of the outermost silent element on the stack
+        self._last_ends: dict[str, int] = {}
         self._parts: list[str] = []
         at = 0
         while True:
@@ -74,6 +86,10 @@ class Page:
                 name, rest = name.lower(), token["rest"] or token["rest2"] or ""
                 if token["end"] or token["end2"]:
                     self._close(name)
+                elif rest.endswith("/") and (name in FOREIGN or (self._silent >= 0 and self._foreign())):
+                    pass
+                elif name in SILENT and not self._ends_after(source, name, at):
+                    pass  # without an end tag in the page it leaves out nothing
                 elif name in RAW:
                     end = _RAW_END[name].search(source, at)
                     # a title without an end would hide the whole page: it ends at the next tag
@@ -133,9 +149,28 @@ class Page:
             self._headings -= name in TITLES
             self._hidden -= hidden
             self._container = container
+        if self._silent >= height:
+            self._silent = -1
+
+    def _ends_after(self, source: str, name: str, at: int) -> bool:
+        if name not in self._last_ends:
+            self._last_ends[name] = max((m.start() for m in _SILENT_END[name].finditer(source)), default=-1)
+        return self._last_ends[name] >= at
+
+    def _foreign(self) -> bool:
+        """Whether the innermost silent element is svg or math, outside of HTML in it."""
+        return next((n in FOREIGN for n, *_ in reversed(self._stack) if n in SILENT or n in HTML_INSIDE), False)
 
     def _close(self, name: str) -> None:
-        if name not in INLINE:
+        if self._silent >= 0:
+            for height in range(len(self._stack) - 1, self._silent - 1, -1):
+                if self._stack[height][0] == name:
+                    self._pop(height)
+                    return
+            if not any(n == name for n, *_ in self._stack):
+                return
+            self._pop(self._silent)
+        if name not in INLINE and name not in SILENT:
             self._flush()
         for height in range(len(self._stack) - 1, -1, -1):
             if self._stack[height][0] == name:
@@ -144,6 +179,20 @@ class Page:
                 return
 
     def _open(self, name: str, rest: str) -> None:
+        if self._silent >= 0 and (name == "body" or (name in BREAKOUT and self._stack[self._silent][0] in FOREIGN and self._foreign())):
+            self._pop(self._silent)
+        if self._silent >= 0 or name in SILENT:
+            if name in VOID and not self._foreign():
+                return
+            if self._silent < 0:
+                if name in FOREIGN and self._stack and self._stack[-1][0] == "head":
+                    self._pop(len(self._stack) - 1)
+                self._silent = len(self._stack)
+            self._stack.append((name, self._container, self._doubt, self._silent == len(self._stack)))
+            self._hidden += self._stack[-1][3]
+            self._anchors += name == "a"
+            self._headings += name in TITLES
+            return
         if name in INLINE:
             if name == "br":
                 self._parts.append(" ")

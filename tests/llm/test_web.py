@@ -157,6 +157,26 @@ def test_classes_hide_no_content(html, text):
     assert Page(html).text(None) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<svg class='icon'/><article><p>a <math/>b</p><p>c</p></article>", "a b\nc"),
+        ("<article>a<p>b <svg/> c</p>d<p>e</p><svg><text>no</text></svg>f</article>", "a\nb c\nd\ne\nf"),
+        ("<article>a <svg><path d='x'/><g><text>no</text></g><title>no</title></svg>b</article><svg></svg>", "a b"),
+        ("<article><p>a<svg class=icon><p>b</p><p>c</p></article><svg></svg>", "a\nb\nc"),
+        ("<article><p>a<svg><foreignObject><div>no</div></foreignObject></svg>b</p></article>", "ab"),
+        ("<article><p>a</p><div><noscript>no</div><p>b</p></article><noscript>no</noscript>", "a\nb"),
+        ("<article>a<template>b</article>", "ab"),
+        ("<article>a<noscript><p>no</p></noscript><template><div><p>no</p><template>no</template></div>no</template>b</article>", "ab"),
+        ("<head><noscript><link></head><body><article>a</article><noscript>n</noscript>", "a"),
+        ("<article><p>a<script>no</article>", "a"),
+        ("<article><p>a</p><svg><style/><text>no</text></svg><p>b</p></article>", "a\nb"),
+    ],
+)
+def test_elements_without_an_end(html, text):
+    assert Page(html).text(None) == text
+
+
 def test_hosts_keep_headings_and_leads(spark):
     data = [(i, f"http://h.example.org/{i}", f"<body><article><h1>T{i}</h1><p>lead</p><div class=body><p>{LONG * (i % 3)}end</p></div></article>") for i in range(6)]
     found = {r["page_id"]: r["text"] for r in extract(pages(spark, data)).collect()}
