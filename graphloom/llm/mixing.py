@@ -1,8 +1,9 @@
 """Mixing sources to target weights by fitting each source's budget as a subset sum.
 
 Documents are counted by source and exact length. A source's target is spent on whole passes over
-it, then on an even share of every length, and what is left by a bounded-knapsack dynamic program
-over lengths; the number so found for each length is drawn by a seeded hash.
+it, then on an even share of every length, rounded along the lengths from a seeded start, and what is
+left, at most three times the longest document, by a bounded-knapsack dynamic program over lengths in seeded
+order; the number so found for each length is drawn by a seeded hash.
 
 Defined results: a null or empty text has length 0 and is taken in the whole passes only; a null
 source is a source of its own, after all others; repeated rows are drawn one by one; a null
@@ -11,6 +12,8 @@ source is a source of its own, after all others; repeated rows are drawn one by
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,25 +26,32 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: A target is at most so many times its source's size, a document is taken at most so often.
 MAX_PASSES = 3
 SEED = 42
-#: Budget that the dynamic program is given; what is above goes to the longest documents left.
-KNAPSACK_WIDTH = 65_536
 #: Documents that are ranked together when a length is drawn from.
 RANKED_TOGETHER = 1_000
 
 
-def bounded_knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+def bounded_knapsack(lengths: list[int], counts: list[int], budget: int, seed: int = SEED) -> list[int]:
     """How many of each length (at least 1) to take for the greatest sum up to ``budget``.
 
-    Reachable sums are bits of an integer; each length enters in groups of 1, 2, 4, ... items.
+    Reachable sums are bits of an integer; each length enters in groups of 1, 2, 4, ... items. All groups
+    come in seeded order, so that no lengths are preferred.
     """
-    taken, reach, steps, full = [0] * len(lengths), 1, [], (1 << (budget + 1)) - 1
-    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
-        left, group = min(counts[i], budget // lengths[i]), 1
-        while left and not reach >> budget & 1:
-            n = min(group, left)
-            steps.append((i, n, reach))
-            reach = (reach | reach << n * lengths[i]) & full
+    if sum(n * c for n, c in zip(lengths, counts)) <= budget:
+        return list(counts)
+    budget -= budget % math.gcd(*lengths)
+    groups = []
+    for i, length in enumerate(lengths):
+        left, group = min(counts[i], budget // length), 1
+        while left:
+            groups.append((i, n := min(group, left)))
             left, group = left - n, group * 2
+    taken, reach, steps, full = [0] * len(lengths), 1, [], (1 << (budget + 1)) - 1
+    for at in np.random.default_rng(seed).permutation(len(groups)).tolist():
+        if reach >> budget & 1:
+            break
+        i, n = groups[at]
+        steps.append((i, n, reach))
+        reach = (reach | reach << n * lengths[i]) & full
     at = reach.bit_length() - 1
     for i, n, before in reversed(steps):
         if not before >> at & 1:
@@ -50,7 +60,30 @@ def bounded_knapsack(lengths: list[int], counts: list[int], budget: int) -> list
     return taken
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, max_passes: int = MAX_PASSES) -> tuple[int, np.ndarray]:
+def even_share(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
+    """The same share of the documents of each length, for at most ``budget`` words and at most twice the longest document less.
+
+    Shares are rounded on their running sum along the lengths, so that any range of lengths has its share
+    but for one document, and the words differ from the share's by at most the longest document.
+    """
+    order = np.argsort(lengths, kind="stable")
+    before = np.cumsum(counts[order])
+    total, longest = int((lengths * counts).sum()), int(lengths.max())
+    start = np.random.default_rng(seed).random()
+    share, aim = np.zeros(len(lengths), np.int64), budget
+    while aim > 0:
+        share[order] = np.diff(np.floor(before * (aim / total) + start).astype(np.int64), prepend=0)
+        share = np.minimum(share, counts)
+        above = int((share * lengths).sum()) - budget
+        if above <= 0:
+            return share
+        # halfway at least, so that few rounds lead to where no rounding is above the budget
+        least = budget - longest - 1
+        aim = min(aim - above, (aim + least) // 2 if aim - least > 1 else least)
+    return np.zeros(len(lengths), np.int64)
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, max_passes: int = MAX_PASSES, seed: int = SEED) -> tuple[int, np.ndarray]:
     """Whole passes over the source, and how many documents of each length to take once more."""
     total = int((lengths * counts).sum())
     extra = np.zeros(len(lengths), np.int64)
@@ -58,19 +91,20 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, max_passe
     budget = 0 if passes == max_passes or not total else min(total, round(target - passes * total))
     if budget <= 0:
         return passes, extra
-    extra = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
-    extra[lengths == 0] = 0
-    left = budget - int((extra * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        if left <= KNAPSACK_WIDTH:
+    some = lengths > 0
+    missed = budget + 1
+    # what the share leaves may be too little to be reached: the second share leaves a longest document more
+    for spare in (0, int(lengths.max())):
+        share = np.zeros(len(lengths), np.int64)
+        share[some] = even_share(lengths[some], counts[some], budget - spare, seed)
+        left = budget - int((share * lengths).sum())
+        open_ = [i for i in range(len(lengths)) if 0 < lengths[i] <= left and counts[i] > share[i]]
+        if left > 0 and open_:
+            share[open_] += bounded_knapsack([int(lengths[i]) for i in open_], [int(counts[i] - share[i]) for i in open_], left, seed)
+        if (left := budget - int((share * lengths).sum())) < missed:
+            extra, missed = share, left
+        if not missed:
             break
-        n = min(int(counts[i] - extra[i]), (left - KNAPSACK_WIDTH // 2) // max(int(lengths[i]), 1)) if lengths[i] else 0
-        extra[i] += n
-        left -= n * int(lengths[i])
-    left = min(left, KNAPSACK_WIDTH)
-    open_ = [i for i in range(len(lengths)) if 0 < lengths[i] <= left and counts[i] > extra[i]]
-    if left > 0 and open_:
-        extra[open_] += bounded_knapsack([int(lengths[i]) for i in open_], [int(counts[i] - extra[i]) for i in open_], left)
     return passes, extra
 
 
@@ -116,7 +150,7 @@ def takes(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size", kind="stable")
-        passes, extra = fit_budget(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), float(group["target"].iloc[0]), max_passes)
+        passes, extra = fit_budget(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), float(group["target"].iloc[0]), max_passes, seed)
         return group.assign(passes=passes, extra=extra)
 
     plan = by_length.alias("l").join(targets.alias("t"), F.expr("l.source <=> t.source")).select("l.*", "source_size", "target")

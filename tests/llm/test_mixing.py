@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm.mixing import bounded_knapsack, fit_budget, measured, mix, takes
+from graphloom.llm.mixing import bounded_knapsack, even_share, fit_budget, measured, mix, takes
 
 from .helpers import SCHEMA, WORD, empty, frame, row, rows
 
@@ -36,6 +36,26 @@ def test_budget_is_never_exceeded_and_near(items, share):
     assert taken <= target + 1 and target - taken <= max(1, lengths.max())
 
 
+@pytest.mark.parametrize("n", [100, 2_000, 20_000])
+def test_lengths_have_even_shares_at_all_sizes(n):
+    lengths, counts = np.arange(1, n + 1), np.ones(n, np.int64)
+    total = int(lengths.sum())
+    passes, extra = fit_budget(lengths, counts, 1.4 * total)
+    assert passes == 1 and int((extra * lengths).sum()) == round(0.4 * total)
+    tenths = extra.reshape(10, -1).sum(axis=1)
+    assert abs(tenths / (n / 10) - 0.4).max() <= 0.2 + 0.1 * (n == 100)
+
+
+@given(st.lists(st.tuples(st.integers(1, 5_000), st.integers(1, 50)), min_size=1, max_size=40, unique_by=lambda x: x[0]), st.floats(0, 1), st.integers(0, 5))
+@settings(max_examples=100, deadline=None)
+def test_share_leaves_little(items, share, seed):
+    lengths, counts = np.array([n for n, _ in items]), np.array([c for _, c in items])
+    budget = round(share * int((lengths * counts).sum()))
+    taken = even_share(lengths, counts, budget, seed)
+    left = budget - int((taken * lengths).sum())
+    assert (taken >= 0).all() and (taken <= counts).all() and 0 <= left <= 2 * lengths.max() + 1
+
+
 def expected(data):
     sizes = [len(WORD.findall(r[1] or "")) for r in data]
     by = Counter()
