@@ -194,8 +194,7 @@ def _ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _planned(spark: SparkSession, folder: str) -> DataFrame:
     """Joins ordered by statistics, over materialised terms."""
-    edges = _triples(spark, folder).where(F.col("p").isin([RDF_TYPE, vocabulary("inNation"), vocabulary("inRegion")]))
-    engine = Engine(TermStore(edges))
+    engine = Engine(TermStore(_triples(spark, folder)))
     engine.analyze()
     return engine.sparql(f"{_PREFIXES} SELECT ?n ?x WHERE {{ ?x v:inNation ?n . ?x a v:Supplier . ?n v:inRegion region:0 . ?n a v:Nation }}")
 
