@@ -187,8 +187,7 @@ def _triples(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ids(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship over integer ids and a dictionary of them."""
-    edges = _triples(spark, folder).where(F.col("p").isin([vocabulary(x) for x in ("hasSupplier", "placedBy", "inNation")]))
-    triples, names = encode_ids(edges)
+    triples, names = encode_ids(_triples(spark, folder))
     return Engine(DictStore(triples, names, distinct=False)).sparql(f"{_PREFIXES} SELECT ?o ?s ?c ?n WHERE {{ {_WHOLE_CYCLE} }}")
 
 

@@ -22,3 +22,13 @@ def test_planner_sees_the_whole_graph(spark, monkeypatch):
     rows = catalog.queries()["planned_bgp"](spark, folder).collect()
     whole = {r["p"] for r in catalog._triples(spark, folder).select("p").distinct().collect()}
     assert rows and {r["p"] for r in seen[0].store.triples().select("p").distinct().collect()} == whole
+
+
+def test_ids_are_given_to_the_whole_graph(spark, monkeypatch):
+    seen = []
+    encode = catalog.encode_ids
+    monkeypatch.setattr(catalog, "encode_ids", lambda triples: seen.append(triples) or encode(triples))
+    folder = "/root/testdata/sf0.001"
+    catalog.queries()["dictionary_ids"](spark, folder)
+    whole = {r["p"] for r in catalog._triples(spark, folder).select("p").distinct().collect()}
+    assert {r["p"] for r in seen[0].select("p").distinct().collect()} == whole
