@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +21,8 @@ WORD = rf"[^{SPACE}]+"
 
 #: Largest Arrow batch that is handed to Python, so that long texts don't add up.
 ARROW_BATCH = 8 << 20
-#: Seconds that Spark's cleaner gets to delete shuffle files.
-CLEANING_S = 1.0
+#: Setting by which Spark deletes the shuffle files of a write once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -54,21 +54,67 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/graphloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders written in each open scope, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that outlives executors."""
+    """Write ``df`` to the shared folder and read it back: a cut of the lineage that outlives executors.
+
+    Shuffle files of the write go with its end. The folder goes with the scope that it is written in, if any.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished phases, which else wait for the driver's next collection, and give it time."""
-    for _ in range(2):  # what just ended is let go a little later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        if not spark.sparkContext.master.startswith("local["):
-            time.sleep(CLEANING_S)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Any]:
+    """Tables that ``materialize`` writes inside are deleted at the end, but for those passed to the yielded ``keep``.
+
+    A kept table belongs to the scope around. Only what was read from is deleted, after the tables
+    made of it are written, so that lost executors need none of it.
+    """
+    written: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.scratch_path)
+        return df
+
+    token = _SCOPES.set((*_SCOPES.get(), written))
+    try:
+        yield keep
+    finally:
+        _SCOPES.reset(token)
+        if scopes := _SCOPES.get():
+            scopes[-1].extend(kept)
+        for path in written:
+            if path not in kept:
+                discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def words(text: Column) -> Column:
@@ -102,12 +148,26 @@ def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
 
 
+#: Plan nodes that keep each row of a scan once at most.
+_ROWWISE = frozenset(("Project", "Filter", "SubqueryAlias"))
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of its own of one scan of files."""
+
+    def plain(plan: Any) -> bool:
+        if plan.getClass().getSimpleName() == "LogicalRelation":
+            return plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+        return plan.getClass().getSimpleName() in _ROWWISE and plain(plan.children().head())
+
+    return plain(df._jdf.queryExecution().analyzed())
+
+
 def with_row_id(df: DataFrame, file: str, index: str) -> DataFrame:
     """Add two longs that name a row for good: its file (hashed path) and its place there.
 
-    Rows of a frame that isn't read from files are first written to the shared folder.
+    Rows of a frame that isn't just read from files are first written to the shared folder.
     """
-    try:
-        return df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index))
-    except AnalysisException:
-        return with_row_id(materialize(df, "rows"), file, index)
+    if not is_scan(df):
+        df = materialize(df, "rows")
+    return df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index))
