@@ -15,8 +15,9 @@ from .engine import Engine
 from .plans import statistics as st
 from .plans.sparql import parse_sparql
 from .sources.mapping import ENTITY, MappedStore, vocabulary
-from .sources.ntriples import encode_ids
+from .sources.ntriples import encode_ids, predicate_catalogue, read_dictionary, read_id_triples, read_ntriples, write_encoded, write_id_triples, write_ntriples
 from .sources.stores import DictStore, TermStore
+from .storage import scratch_path
 from .terms import INTEGER, RDF_TYPE
 from .workload import QueryTemplate
 
@@ -46,7 +47,7 @@ def _i(column: str) -> str:
 
 
 #: All distinct triples of the graph.
-_TRIPLES = "WITH t AS (" + " UNION ".join(
+_TRIPLES = "WITH t AS MATERIALIZED (" + " UNION ".join(
     f"SELECT {s} AS s, {p} AS p, {o} AS o FROM {table}"
     for table, s, p, o in [
         *[(t, _e(k.lower(), c), f"'{RDF_TYPE}'", _v(k)) for t, k, c in [
@@ -144,6 +145,12 @@ SELECT {_e('customer', 'c_custkey')} AS x, {_t('c_name')} AS n FROM customer WHE
 UNION ALL SELECT {_e('nation', 'n_nationkey')}, {_t('n_name')} FROM nation WHERE n_regionkey = 1""")
 _sparql("nested_group", "SELECT ?x ?g WHERE { { ?x a v:Customer . { ?x v:segment ?g } } ?x v:inNation nation:5 }", f"SELECT {_e('customer', 'c_custkey')} AS x, {_t('c_mktsegment')} AS g FROM customer WHERE c_nationkey = 5")
 _sparql("optional", "SELECT ?o ?s WHERE { ?o a v:Order OPTIONAL { ?o v:hasSupplier ?s } }", f"SELECT {_e('order', 'o_orderkey')} AS o, {_e('supplier', 'l_suppkey')} AS s FROM orders LEFT JOIN {_SUPPLIED} ON l_orderkey = o_orderkey")
+_sparql("optional_filter_outer", "SELECT ?p ?z ?n WHERE { ?p v:size ?z OPTIONAL { ?p v:name ?n FILTER(?z > 25) } }", f"SELECT {_e('part', 'p_partkey')} AS p, {_i('p_size')} AS z, CASE WHEN p_size > 25 THEN {_t('p_name')} END AS n FROM part")
+_sparql("optional_filter_inner", 'SELECT ?p ?n WHERE { ?p a v:Part OPTIONAL { ?p v:name ?n FILTER(REGEX(STR(?n), "^cold")) } }', f"SELECT {_e('part', 'p_partkey')} AS p, CASE WHEN p_name LIKE 'cold%' THEN {_t('p_name')} END AS n FROM part")
+_sparql("optional_after_union", "SELECT ?x ?g ?n WHERE { { ?x v:segment ?g } UNION { ?x a v:Supplier } ?x v:inNation nation:3 OPTIONAL { ?x v:name ?n } OPTIONAL { ?x v:segment ?g } }", f"""
+SELECT {_e('customer', 'c_custkey')} AS x, {_t('c_mktsegment')} AS g, {_t('c_name')} AS n FROM customer WHERE c_nationkey = 3 UNION ALL SELECT {_e('supplier', 's_suppkey')}, NULL, {_t('s_name')} FROM supplier WHERE s_nationkey = 3""")
+_sparql("variables_by_case", "SELECT ?x ?n WHERE { ?x v:inNation ?N . ?n v:inNation ?N . ?x a v:Supplier . ?n a v:Supplier . ?N v:inRegion ?X }", f"SELECT {_e('supplier', 'a.s_suppkey')} AS x, {_e('supplier', 'b.s_suppkey')} AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey")
+_sparql("order_numbers", "SELECT ?p ?z WHERE { ?p v:size ?z FILTER(?z < 12) } ORDER BY DESC(?z) ?p LIMIT 25", f"SELECT {_e('part', 'p_partkey')} AS p, {_i('p_size')} AS z FROM part WHERE p_size < 12 ORDER BY p_size DESC, p LIMIT 25")
 _sparql("semicolon_comma", "SELECT ?a ?b ?n WHERE { ?o v:hasPart ?a , ?b ; v:placedBy customer:1 . ?a v:name ?n }", f"""WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 1)
 SELECT {_e('part', 'a.l_partkey')} AS a, {_e('part', 'b.l_partkey')} AS b, {_t('p_name')} AS n FROM d a JOIN d b USING (l_orderkey) JOIN part ON p_partkey = a.l_partkey""")
 _sparql("blank_node", "SELECT ?c ?s WHERE { [ v:placedBy ?c ; v:status ?s ] . ?c v:inNation _:n . _:n v:inRegion region:2 }", f"""SELECT {_e('customer', 'o_custkey')} AS c, {_t('o_orderstatus')} AS s FROM orders JOIN customer ON c_custkey = o_custkey
@@ -205,6 +212,33 @@ def _template(spark: SparkSession, folder: str) -> DataFrame:
     return engine.run(template.instantiate(0))
 
 
+def _through_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The graph written as N-Triples and read back."""
+    path = scratch_path(spark, "ntriples")
+    write_ntriples(_triples(spark, folder), path)
+    return read_ntriples(spark, path).distinct()
+
+
+def _through_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The graph written as id triples with dictionary files, and read back."""
+    path = scratch_path(spark, "ids")
+    write_encoded(*encode_ids(_triples(spark, folder)), path)
+    store = DictStore(read_id_triples(spark, f"{path}/id_triples", "part-*"), read_dictionary(spark, path))
+    return store.decode(store.triples(), ["s", "p", "o"]).withColumn("p", F.when(F.col("p") == "rdf:type", F.lit(RDF_TYPE)).otherwise(F.col("p")))
+
+
+def _through_predicate_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Triples of ids in a folder for each predicate, and how many each has."""
+    triples, names = encode_ids(_triples(spark, folder))
+    path = scratch_path(spark, "by_predicate")
+    write_id_triples(triples, path)
+    sizes = spark.read.parquet(path).groupBy(F.col("p").alias("id")).agg(F.count("*").alias("n"))
+    return sizes.join(predicate_catalogue(names), "id").select(F.col("str").alias("p"), "n")
+
+
+_add("ntriples_files", _through_text, f"{_TRIPLES} SELECT * FROM t")
+_add("id_files", _through_id_files, f"{_TRIPLES} SELECT * FROM t")
+_add("predicate_folders", _through_predicate_folders, f"{_TRIPLES} SELECT p, count(*) AS n FROM t GROUP BY p")
 _add("pred_stats", lambda s, d: st.predicate_sizes(_triples(s, d)), f"{_TRIPLES} SELECT p, count(*) AS n_triples, count(DISTINCT s) AS n_subjects, count(DISTINCT o) AS n_objects FROM t GROUP BY p")
 _add("type_stats", lambda s, d: st.type_sizes(_triples(s, d), RDF_TYPE), f"{_TRIPLES} SELECT o, count(*) AS n_instances FROM t WHERE p = '{RDF_TYPE}' GROUP BY o")
 _add("pred_correlation", lambda s, d: st.predicate_pairs(_triples(s, d)), f"""{_TRIPLES}, k AS (SELECT DISTINCT s AS v, p, 'out' AS d FROM t UNION SELECT DISTINCT o, p, 'in' FROM t)

@@ -27,8 +27,16 @@ show-config | reload-config FILE | run-script FILE | quit"""
 class Console:
     def __init__(self, engine: Engine, config: EngineConfig | None = None, out: TextIO = sys.stdout):
         self._engine, self._config, self._out = engine, config or EngineConfig(), out
-        if self._config.use_statistics:
-            engine.analyze()
+        self._apply()
+
+    def _apply(self) -> None:
+        """Let the settings act on the engine and its session."""
+        if self._config.shuffle_partitions:
+            self._engine.store.spark.conf.set("spark.sql.shuffle.partitions", self._config.shuffle_partitions)
+        if not self._config.use_statistics:
+            self._engine.statistics = None
+        elif self._engine.statistics is None:
+            self._engine.analyze()
 
     def run(self, lines: Iterable[str]) -> None:
         for line in lines:
@@ -51,6 +59,7 @@ class Console:
             self._say(show_config(self._config))
         elif name == "reload-config":
             self._config = parse_config(Path(arguments[0]).read_text(), self._config, reload=True)
+            self._apply()
         elif name == "run-script":
             self.run(Path(arguments[0]).read_text().splitlines())
         elif name == "sparql":
@@ -83,9 +92,11 @@ class Console:
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("folder", help="folder of the tables")
+    parser.add_argument("--config", help="file of settings")
     given = parser.parse_args()
+    config = parse_config(Path(given.config).read_text()) if given.config else EngineConfig()
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
-    Console(Engine(MappedStore(spark, given.folder))).run(sys.stdin)
+    Console(Engine(MappedStore(spark, given.folder)), config).run(sys.stdin)
 
 
 if __name__ == "__main__":

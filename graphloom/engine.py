@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .functions.filters import FilterCompiler, variables
 from .operators.modifiers import modified
-from .operators.steps import compatible_join, names, nothing, run_steps, unit
-from .plans.model import Corun, Expr, Group, Pattern, Query, Var
+from .operators.steps import RIGHT, compatible_join, names, nothing, run_steps, unit
+from .plans.model import Corun, Expr, Group, Pattern, Query, Var, inner_name, with_inner_names
 from .plans.plan_language import parse_plan
 from .plans.planner import Planner
 from .plans.sparql import parse_sparql
@@ -38,15 +40,18 @@ class Engine:
         return self.run(parse_plan(text))
 
     def run(self, query: Query) -> DataFrame:
-        rows = self.group(query.where, query.ordered)
-        return modified(self.store.decode(rows, names(rows)), query, named_variables(query.where))
+        inside = with_inner_names(query)
+        rows = self.group(inside.where, query.ordered)
+        found = modified(self.store.decode(rows, names(rows)), inside, named_variables(inside.where))
+        outside = {inner_name(v): v for v in [*group_variables(query.where), *(query.select or [])]}
+        return found.toDF(*[outside.get(c, c) for c in found.columns])
 
     def count(self, query: Query) -> int:
         """Number of rows without modifiers, nothing decoded."""
-        return self.group(query.where, query.ordered).count()
+        return self.group(with_inner_names(query).where, query.ordered).count()
 
     def group(self, group: Group, ordered: bool = False) -> DataFrame:
-        """All bindings of a group, as keys of the store."""
+        """All bindings of a group, as keys of the store; variables must differ but for case."""
         steps = list(group.steps)
         planner = Planner(self.store, self.statistics)
         if not ordered and all(isinstance(s, Pattern) for s in steps):
@@ -64,11 +69,12 @@ class Engine:
             rows = union if rows is None else compatible_join(rows, union, "inner", maybe | part_maybe)
             maybe |= part_maybe
         for part in group.optionals:
-            found = self.group(part)
+            # its filters are part of the join and see the variables around it
+            found = self.group(replace(part, filters=[]))
             if rows is None:
                 rows = unit(self.store)
             new = set(names(found)) - set(names(rows))
-            rows = compatible_join(rows, found, "left", maybe)
+            rows = self._optional(rows, found, maybe | self._maybe(part), part.filters)
             maybe |= new
         if rows is None:
             rows = unit(self.store)
@@ -82,6 +88,28 @@ class Engine:
         inside = {v for g in [*group.optionals, *(p for parts in group.unions for p in parts)] for v in group_variables(g)}
         return inside - bound
 
+    def _optional(self, rows: DataFrame, found: DataFrame, maybe: set[str], conditions: list[Expr]) -> DataFrame:
+        if not conditions:
+            return compatible_join(rows, found, "left", maybe)
+        used = set().union(*map(variables, conditions))
+        ours, theirs = names(rows), names(found)
+        terms: dict[str, Column] = {}
+        beside = []
+        for side, own, mark in ((rows, ours, "^left"), (found, theirs, "^term")):
+            wanted = [v for v in own if v in used]
+            if self.store.key_type != "string":  # ids are decoded beside the keys for the time of the join
+                side = self.store.decode(side.selectExpr("*", *[f"`{v}` AS `{v}{mark}`" for v in wanted]), [v + mark for v in wanted])
+            else:
+                mark = RIGHT if mark == "^term" else ""
+            for v in wanted:
+                here = F.col(f"`{v}{mark}`") if self.store.key_type != "string" or v in ours else F.col(f"`{v}`")
+                terms[v] = here if v not in terms else F.coalesce(terms[v], here)
+            beside.append(side)
+        columns = [*ours, *(v for v in theirs if v not in ours)]
+        test = reduce(lambda a, b: a & b, [FilterCompiler(columns, self._functions, terms).condition(c) for c in conditions])
+        joined = compatible_join(*beside, "left", maybe, test)
+        return joined.select(*[F.col(f"`{c}`") for c in [*rows.columns, *(v for v in theirs if v not in ours)]])
+
     def _filtered(self, rows: DataFrame, condition: Expr) -> DataFrame:
         """Ids are decoded beside the keys for the time of the filter."""
         if self.store.key_type == "string":

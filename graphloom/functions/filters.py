@@ -62,8 +62,12 @@ class Value:
 class FilterCompiler:
     """Compiles expressions over the columns of a result; ``functions`` are by IRI, with their angle brackets, on Columns."""
 
-    def __init__(self, columns: list[str], functions: dict[str, Callable[..., Column]] | None = None):
-        self._columns, self._functions = set(columns), functions or {}
+    def __init__(self, columns: list[str], functions: dict[str, Callable[..., Column]] | None = None, terms: dict[str, Column] | None = None):
+        """``terms``: of variables whose terms aren't in the column of their name."""
+        self._columns, self._functions, self._terms = set(columns), functions or {}, terms or {}
+
+    def _variable(self, name: str) -> Column:
+        return self._terms.get(name, F.col(f"`{name}`"))
 
     def condition(self, expr: Expr) -> Column:
         return F.coalesce(self._value(expr).truth(), F.lit(False))
@@ -71,14 +75,14 @@ class FilterCompiler:
     def _value(self, expr: Expr) -> Value:
         op, args = expr.op, expr.args
         if op == "var":
-            return Value("term", F.col(args[0]) if args[0] in self._columns else F.lit(None).cast("string"))
+            return Value("term", self._variable(args[0]) if args[0] in self._columns else F.lit(None).cast("string"))
         if op in ("iri", "literal"):
             return Value("term", F.lit(args[0]), args[0])
         if op in ("number", "boolean"):
             return Value(op, F.lit(args[0]))
         if op == "BOUND":
             name = args[0].args[0]
-            return Value("boolean", F.col(name).isNotNull() if name in self._columns else F.lit(False))
+            return Value("boolean", self._variable(name).isNotNull() if name in self._columns else F.lit(False))
         if op == "call":
             name, *rest = args
             if name not in self._functions:

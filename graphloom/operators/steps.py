@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,19 +104,44 @@ def run_steps(store: TripleStore, steps: list[Step], rows: DataFrame | None = No
     return reduce(lambda done, step: run_step(store, done, step), steps, rows)
 
 
-def compatible_join(left: DataFrame, right: DataFrame, how: str, maybe: set[str]) -> DataFrame:
-    """Join on shared variables; those in ``maybe`` can be unbound and then agree with anything."""
-    shared = [v for v in names(right) if v in names(left)]
-    if not shared:
-        return left.join(right, how="cross") if how == "inner" else left.join(right, F.lit(True), "left")
-    if not maybe & set(shared):
-        return left.join(right, shared, how)
-    other = right.select(*[F.col(c).alias(f"__{c}") if c in shared else F.col(c) for c in right.columns])
+#: Mark of the right side's column of a variable that both sides have.
+RIGHT = "^right"
 
-    def agree(v: str) -> Column:
-        same = F.col(v) == F.col(f"__{v}")
-        return same | F.col(v).isNull() | F.col(f"__{v}").isNull() if v in maybe else same
 
-    found = left.join(other, reduce(lambda a, b: a & b, map(agree, shared)), how)
-    values = [F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in shared else F.col(c) for c in left.columns]
-    return found.select(*values, *[c for c in right.columns if c not in shared])
+def compatible_join(left: DataFrame, right: DataFrame, how: str, maybe: set[str], condition: Column | None = None) -> DataFrame:
+    """Join, inner or left, on shared variables; those in ``maybe`` can be unbound and then agree with anything.
+
+    Rows are told apart by which of these variables are bound, so that each part is joined on the
+    variables that it has. ``condition`` is part of the join; it names shared columns of the right
+    side with the mark RIGHT.
+    """
+    shared = [v for v in names(right) if v in names(left)]
+    doubtful = [v for v in shared if v in maybe]
+    if not doubtful and condition is None and shared:
+        return left.join(right, shared, how)
+    other = right.select(*[F.col(f"`{c}`").alias(c + RIGHT) if c in shared else F.col(f"`{c}`") for c in right.columns if c != UNIT])
+    values = [F.coalesce(F.col(f"`{c}`"), F.col(f"`{c + RIGHT}`")).alias(c) if c in shared else F.col(f"`{c}`") for c in left.columns]
+    new = [c for c in other.columns if c.removesuffix(RIGHT) not in shared]
+
+    def bound(rows: DataFrame, mask: tuple[bool, ...], mark: str) -> DataFrame:
+        for v, is_bound in zip(doubtful, mask):
+            column = F.col(f"`{v + mark}`")
+            rows = rows.where(column.isNotNull() if is_bound else column.isNull())
+        return rows
+
+    masks = list(product((True, False), repeat=len(doubtful)))
+    parts: list[DataFrame] = []
+    for ours in masks:
+        rows = rest = bound(left, ours, "")
+        for theirs in masks:
+            agreed = [v for v in shared if v not in doubtful or (ours[doubtful.index(v)] and theirs[doubtful.index(v)])]
+            tests = [F.col(f"`{v}`") == F.col(f"`{v + RIGHT}`") for v in agreed] + ([] if condition is None else [condition])
+            on = reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+            found = bound(other, theirs, RIGHT)
+            if len(masks) == 1:
+                return rows.join(found, on, how).select(*values, *[F.col(f"`{c}`") for c in new])
+            parts.append(rows.join(found, on).select(*values, *[F.col(f"`{c}`") for c in new]))
+            rest = rest.join(found, on, "left_anti")
+        if how == "left":
+            parts.append(rest)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -102,3 +102,32 @@ class Query:
 
 class QueryError(ValueError):
     """A query that can't be parsed or doesn't make sense."""
+
+
+def inner_name(name: str) -> str:
+    """A column name for a variable; columns, unlike variables, don't differ by case."""
+    upper = sum(1 << i for i, c in enumerate(name) if c.isupper())
+    return f"{name.lower()}^{upper:x}" if upper else name
+
+
+def with_inner_names(query: Query) -> Query:
+    """The query with variables that differ as columns."""
+
+    def term(t: Term) -> Term:
+        return replace(t, name=inner_name(t.name)) if isinstance(t, Var) else t
+
+    def step(s: Step) -> Step:
+        if isinstance(s, Corun):
+            return Corun(tuple(map(step, s.chain)))
+        if isinstance(s, IndexScan):
+            return replace(s, var=term(s.var))
+        return replace(s, s=term(s.s), p=term(s.p), o=term(s.o))
+
+    def expr(e: Expr) -> Expr:
+        return Expr("var", (inner_name(e.args[0]),)) if e.op == "var" else Expr(e.op, tuple(expr(a) if isinstance(a, Expr) else a for a in e.args))
+
+    def group(g: Group) -> Group:
+        return Group([step(s) for s in g.steps], [[group(p) for p in parts] for parts in g.unions], [group(p) for p in g.optionals], [expr(f) for f in g.filters])
+
+    order = [replace(o, var=None if o.var is None else inner_name(o.var)) for o in query.order]
+    return replace(query, where=group(query.where), select=None if query.select is None else [inner_name(v) for v in query.select], order=order)

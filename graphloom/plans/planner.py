@@ -43,8 +43,8 @@ class Planner:
         return self._by_cost(patterns)
 
     def is_empty(self, patterns: list[Pattern]) -> bool:
-        """True only if two edges that meet in a variable occur at no common vertex of the graph."""
-        if self._statistics is None or self._statistics.together is None:
+        """True only if two edges that meet in a variable occur at no common vertex of this very graph."""
+        if self._statistics is None or self._statistics.together is None or self._statistics.version != self._store.version:
             return False
         at: dict[str, set[tuple[Any, str]]] = {}
         for pattern in patterns:

@@ -31,6 +31,8 @@ class Statistics:
     types: dict[Any, int] = field(default_factory=dict)
     #: Vertices that have both edges, by ((predicate, direction), (predicate, direction)); none: not collected.
     together: dict[tuple[tuple[Any, str], tuple[Any, str]], int] | None = None
+    #: Of the store that they were collected from.
+    version: str = ""
 
     def vertices(self, predicate: Any, direction: str) -> int:
         size = self.predicates.get(predicate)
@@ -72,7 +74,7 @@ def dataset_size(triples: DataFrame) -> DataFrame:
 
 def collect_statistics(store: TripleStore, pairs: bool = True) -> Statistics:
     triples = store.triples()
-    out = Statistics()
+    out = Statistics(version=store.version)
     for row in predicate_sizes(triples).collect():
         out.predicates[row["p"]] = PredicateSize(row["n_triples"], row["n_subjects"], row["n_objects"])
     for row in type_sizes(triples, store.key(RDF_TYPE)).collect():

@@ -35,8 +35,8 @@ class Node:
     kind: str
     column: str
 
-    def term(self) -> Column:
-        return F.concat(F.lit(f"<{ENTITY}{self.kind}/"), F.col(self.column).cast("string"), F.lit(">"))
+    def term(self, column: str | None = None) -> Column:
+        return F.concat(F.lit(f"<{ENTITY}{self.kind}/"), F.col(column or self.column).cast("string"), F.lit(">"))
 
     def value(self, term: str) -> str | None:
         found = re.fullmatch(rf"<{re.escape(ENTITY)}{self.kind}/([^/<>]*)>", term)
@@ -50,10 +50,10 @@ class Literal:
     column: str
     integer: bool = False
 
-    def term(self) -> Column:
+    def term(self, column: str | None = None) -> Column:
         if self.integer:
-            return F.concat(F.lit('"'), F.col(self.column).cast("string"), F.lit(f'"^^{INTEGER}'))
-        text = F.col(self.column)
+            return F.concat(F.lit('"'), F.col(column or self.column).cast("string"), F.lit(f'"^^{INTEGER}'))
+        text = F.col(column or self.column)
         for sign, escape in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
             text = F.replace(text, F.lit(sign), F.lit(escape))
         return F.concat(F.lit('"'), text, F.lit('"'))
@@ -70,7 +70,7 @@ class Fixed:
     name: str
     column: str | None = None
 
-    def term(self) -> Column:
+    def term(self, column: str | None = None) -> Column:
         return F.lit(self.name)
 
     def value(self, term: str) -> str | None:
@@ -170,8 +170,31 @@ class MappedStore(TripleStore):
         return reduce(DataFrame.union, found) if found else self.spark.createDataFrame([], "s string, o string")
 
     def triples(self, s: str | None = None, o: str | None = None) -> DataFrame:
-        frames = [self.edges(p, s, o).select("s", F.lit(p).alias("p"), "o") for p in self._edges]
-        return reduce(DataFrame.union, frames)
+        if s is not None or o is not None:
+            frames = [self.edges(p, s, o).select("s", F.lit(p).alias("p"), "o") for p in self._edges]
+            return reduce(DataFrame.union, frames)
+        by_table: dict[str, list[tuple[str, Edge]]] = {}
+        for predicate, edges in self._edges.items():
+            for edge in edges:
+                by_table.setdefault(edge.table, []).append((predicate, edge))
+        return reduce(DataFrame.union, [self._all_triples(name, edges) for name, edges in by_table.items()])
+
+    def _all_triples(self, name: str, edges: list[tuple[str, Edge]]) -> DataFrame:
+        """Triples of a table's edges from one scan; they become terms after repeated keys are left out."""
+        table = self._table(name)
+        pairs = [F.struct(F.lit(i).alias("edge"), F.col(e.s.column).cast("string").alias("s"), (F.col(e.o.column) if e.o.column else F.lit("")).cast("string").alias("o")) for i, (_, e) in enumerate(edges)]
+        rows = table.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*").where("s IS NOT NULL AND o IS NOT NULL")
+        repeats = [i for i, (_, e) in enumerate(edges) if e.repeats]
+        if len(repeats) == len(edges):
+            rows = rows.distinct()
+        elif repeats:
+            rows = rows.where(~F.col("edge").isin(repeats)).union(rows.where(F.col("edge").isin(repeats)).distinct())
+
+        def chosen(of: list[Column]) -> Column:
+            return reduce(lambda out, i: F.when(F.col("edge") == i, of[i]).otherwise(out), range(1, len(of)), of[0])
+
+        subject, object_ = chosen([e.s.term("s") for _, e in edges]), chosen([e.o.term("o") for _, e in edges])
+        return rows.select(subject.alias("s"), chosen([F.lit(p) for p, _ in edges]).alias("p"), object_.alias("o"))
 
     def decode(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         return rows

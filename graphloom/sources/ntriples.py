@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, numbered, scope
 from ..terms import RDF_TYPE
 from .stores import PREDICATE_ID, TYPE_ID, VERTEX
 
@@ -26,39 +27,31 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     triples.select(F.concat_ws(" ", "s", "p", "o", F.lit("."))).write.text(path)
 
 
-def _numbered(terms: DataFrame, start: int) -> DataFrame:
-    """str, id in the order of str from ``start``: range partitions, and the rows before each."""
-    spread = terms.repartitionByRange(F.col("str")).withColumn("part", F.spark_partition_id())
-    place = F.row_number().over(Window.partitionBy("part").orderBy("str"))
-    numbered = spread.withColumn("place", place)
-    sizes = spread.groupBy("part").count()
-    before = sizes.withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count"))
-    return numbered.join(before.select("part", "before"), "part").select("str", (F.col("before") + F.col("place") + (start - 1)).cast("long").alias("id"))
-
-
 def encode_ids(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct triples of ids, and the dictionary (id, str, kind).
+    """Distinct triples of ids, sorted by predicate in each file, and the dictionary (id, str, kind); both written.
 
     Predicates and types get the ids from 2, in order; all other terms those from 2 ** 17, or after
     the last index id if there are more. A type is an index wherever else it stands.
     """
-    distinct = triples.select("s", "p", "o").distinct()
-    predicates = distinct.select(F.col("p").alias("str")).where(F.col("p") != RDF_TYPE)
-    types = distinct.where(F.col("p") == RDF_TYPE).select(F.col("o").alias("str"))
-    index = predicates.union(types).distinct()
-    count = index.count()
-    ends = distinct.select(F.explode(F.array("s", "o")).alias("str")).where(F.col("str") != RDF_TYPE).distinct()
-    vertices = ends.join(index, "str", "left_anti")
     spark = triples.sparkSession
-    reserved = spark.createDataFrame([(i, RDF_TYPE if i == TYPE_ID else name, "index") for name, i in RESERVED], "id long, str string, kind string")
-    indexed = _numbered(index, TYPE_ID + 1).select("id", "str", F.lit("index").alias("kind"))
-    plain = _numbered(vertices, max(VERTEX, count + TYPE_ID + 1)).select("id", "str", F.lit("vertex").alias("kind"))
-    names = reserved.union(indexed).union(plain)
-    out = distinct
-    for column in ("s", "p", "o"):
-        key = names.select(F.col("id").alias(f"{column}_id"), F.col("str").alias(column))
-        out = out.join(key, column)
-    return out.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o")), names
+    with scope(spark) as keep:
+        distinct = materialize(triples.select("s", "p", "o").distinct(), "triples")
+        # a row for each term: whether it is a predicate or type anywhere
+        is_type = F.col("p") == RDF_TYPE
+        roles = F.array(F.struct(F.col("s").alias("str"), F.lit(False).alias("index")), F.struct(F.col("o").alias("str"), is_type.alias("index")), F.struct(F.col("p").alias("str"), F.lit(True).alias("index")))
+        terms = distinct.select(F.explode(roles).alias("t")).select("t.*").where(F.col("str") != RDF_TYPE).groupBy("str").agg(F.max("index").alias("index"))
+        terms = materialize(terms, "terms")
+        index = terms.where("index")
+        start = max(VERTEX, index.count() + TYPE_ID + 1)
+        reserved = spark.createDataFrame([(i, RDF_TYPE if i == TYPE_ID else name, "index") for name, i in RESERVED], "id long, str string, kind string")
+        parts = [numbered(rows, first).select("id", "str", F.lit(kind).alias("kind")) for rows, first, kind in ((index, TYPE_ID + 1, "index"), (terms.where("NOT index"), start, "vertex"))]
+        names = keep(materialize(reserved.union(parts[0]).union(parts[1]), "dictionary"))
+        out = distinct
+        for column in ("p", "s", "o"):
+            key = names.where("kind = 'index'") if column == "p" else names
+            out = out.join(key.select(F.col("id").alias(f"{column}_id"), F.col("str").alias(column)), column)
+        out = out.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o")).sortWithinPartitions("p")
+        return keep(materialize(out, "id_triples")), names
 
 
 def read_id_triples(spark: SparkSession, folder: str, pattern: str = "id_*") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-
+import uuid
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from ..terms import RDF_TYPE
 
 #: Ids of the predicate index and of rdf:type; vertices begin at VERTEX.
@@ -19,6 +21,11 @@ class TripleStore:
 
     spark: SparkSession
 
+    @cached_property
+    def version(self) -> str:
+        """Names this store's triples; statistics of other ones prove nothing about it."""
+        return uuid.uuid4().hex
+
     def key(self, term: str) -> Any | None:
         """The key of a term, None if the graph can't have it."""
         raise NotImplementedError
@@ -48,11 +55,15 @@ def _restricted(df: DataFrame, s: Any, o: Any) -> DataFrame:
 
 
 class TermStore(TripleStore):
-    """Triples of tokens (s, p, o), made distinct once."""
+    """Triples of tokens (s, p, o), made distinct once: the first use writes them, sorted by predicate in each file."""
 
     def __init__(self, triples: DataFrame):
         self.spark = triples.sparkSession
-        self._triples = triples.select("s", "p", "o").distinct()
+        self._given = triples.select("s", "p", "o")
+
+    @cached_property
+    def _triples(self) -> DataFrame:
+        return materialize(self._given.distinct().sortWithinPartitions("p"), "triples")
 
     def key(self, term: str) -> str:
         return term
@@ -101,8 +112,6 @@ class DictStore(TripleStore):
     def decode(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         order = rows.columns
         for name in columns:
-            names = self._dictionary.select(F.col("id").alias("id_"), F.col("str").alias("str_"))
-            rows = rows.join(names, F.col(name) == F.col("id_"), "left").withColumn(name, F.col("str_")).select(*order)
+            names = self._dictionary.select(F.col("id").alias("^id"), F.col("str").alias("^str"))
+            rows = rows.join(names, F.col(f"`{name}`") == F.col("`^id`"), "left").withColumn(name, F.col("`^str`")).select(*[F.col(f"`{c}`") for c in order])
         return rows
-
-

@@ -8,21 +8,47 @@ import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field, replace
+from itertools import count as count_from
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from .engine import Engine
 from .plans.model import Corun, Group, Pattern, Placeholder, Query, QueryError, Step
 from .plans.plan_language import parse_plan, placeholders
+from .storage import materialize, numbered
 from .terms import RDF_TYPE
 
 
+#: Instances of a type that are kept in memory; of more, the one asked for is looked up in a written table.
+KEPT_INSTANCES = 100_000
+
+
+class Instances:
+    """Instances of a type in order of their terms."""
+
+    def __init__(self, engine: Engine, kind: str):
+        found = engine.plan(f"SELECT ?x WHERE {{ ?x {RDF_TYPE} {kind} <- }}").select(F.col("x").alias("str"))
+        self._table = materialize(numbered(found, 0).sortWithinPartitions("id"), "instances")
+        self._count = self._table.count()
+        if not self._count:
+            raise QueryError(f"no instance of {kind}")
+        self._kept = [r["str"] for r in self._table.orderBy("id").collect()] if self._count <= KEPT_INSTANCES else None
+
+    def __len__(self) -> int:
+        return self._count
+
+    def __getitem__(self, place: int) -> str:
+        return self._kept[place] if self._kept is not None else self._table.where(F.col("id") == place).first()["str"]
+
+
 @dataclass
 class QueryTemplate:
     """A plan-language query with placeholders, and the instances of their types."""
 
     query: Query
-    candidates: list[list[str]] = field(default_factory=list)
+    candidates: list[Instances] = field(default_factory=list)
 
     @classmethod
     def parse(cls, text: str) -> QueryTemplate:
@@ -32,14 +58,8 @@ class QueryTemplate:
         return cls(query)
 
     def fill(self, engine: Engine) -> None:
-        """Look up each type's instances once, in order of their terms."""
-        found: dict[str, list[str]] = {}
-        for kind in placeholders(self.query):
-            if kind not in found:
-                rows = engine.plan(f"SELECT ?x WHERE {{ ?x {RDF_TYPE} {kind} <- }}")
-                found[kind] = sorted(r["x"] for r in rows.collect())
-                if not found[kind]:
-                    raise QueryError(f"no instance of {kind}")
+        """Number each type's instances once, in order of their terms."""
+        found = {kind: Instances(engine, kind) for kind in dict.fromkeys(placeholders(self.query))}
         self.candidates = [found[kind] for kind in placeholders(self.query)]
 
     def instantiate(self, seed: int) -> Query:
@@ -128,10 +148,12 @@ def run_mix(engine: Engine, entries: list[MixEntry], folder: str | Path, duratio
             template = QueryTemplate.parse(text)
             template.fill(engine)
             ready.append((entry, template.instantiate))
-    choose, log, flying, heavy = random.Random(seed), Log(), {}, 0
+    choose, log, flying, heavy, ids = random.Random(seed), Log(), {}, 0, count_from(1)
 
-    def run(query: Query) -> tuple[float, int]:
+    def run(query: Query, name: str) -> tuple[float, int]:
         began = time.perf_counter()
+        # a group of its own, by which the jobs of a query can be told apart or cancelled
+        engine.store.spark.sparkContext.setJobGroup(name, name, interruptOnCancel=True)
         count = engine.count(query)
         return time.perf_counter() - began, count
 
@@ -141,7 +163,7 @@ def run_mix(engine: Engine, entries: list[MixEntry], folder: str | Path, duratio
         while (now := time.perf_counter()) < start + warm_up + duration:
             entry, make = choose.choices(ready, [e.weight for e, _ in ready])[0]
             if len(flying) < parallel and not (entry.heavy and heavy >= heavy_parallel):
-                flying[pool.submit(run, make(choose.randrange(1 << 30)))] = (entry, now)
+                flying[pool.submit(run, make(choose.randrange(1 << 30)), f"{entry.path}-{next(ids)}")] = (entry, now)
                 heavy += entry.heavy
             heavy -= _gathered(flying, log, 0.0 if len(flying) < parallel else None)
         while flying:

@@ -150,3 +150,39 @@ def test_literals_with_spaces_escapes_language_and_datatype(spark):
     assert ask('?o = "a b"') == [("x3",)]
     assert ask("LANG(?o) = \"\" && !(?o = 5)") == []  # texts that aren't numbers can't be compared with one
     assert rows(engine.sparql('SELECT ?x WHERE { ?x <http://t/p> "Guten Tag"@de-AT }')) == [("x1",)]
+
+
+def test_filters_of_optionals_see_the_variables_around_them(engine):
+    def ask(text, *columns):
+        return sorted(rows(engine.sparql(PREFIXES + text), *columns), key=str)
+
+    where = "?x ub:worksFor ?d ; ub:telephone ?t OPTIONAL {{ ?x ub:name ?n FILTER({}) }}"
+    assert ask(f"SELECT ?x ?n WHERE {{ {where.format('?t > 5')} }}", "x", "n") == [("F0", None), ("F1", "Prof1")]
+    assert ask(f"SELECT ?x ?n WHERE {{ {where.format('?n = \'Prof0\' && BOUND(?d)')} }}", "x", "n") == [("F0", "Prof0"), ("F1", None)]
+    # a shared variable that the left side leaves unbound
+    text = "SELECT ?x ?d WHERE { { ?x ub:memberOf ?d } UNION { ?x a ub:ResearchGroup } OPTIONAL { ?x ub:subOrganizationOf ?d FILTER(?d != e:D1) } }"
+    assert ("R0", "D0") in ask(text, "x", "d") and len(ask(text, "x", "d")) == 5
+
+
+def test_variables_differ_by_case(engine):
+    found = engine.sparql(f"{PREFIXES} SELECT ?x ?X WHERE {{ ?x ub:advisor ?X . ?X ub:worksFor ?D . ?x ub:memberOf ?d FILTER(?d = ?D) }} ORDER BY ?X")
+    assert found.columns == ["x", "X"] and [tuple(map(short, r)) for r in found.collect()] == [("S0", "F0"), ("S1", "F1")]
+
+
+def test_unbound_variables_need_no_nested_loop(graph):
+    engine = Engine(TermStore(graph))
+    found = engine.sparql(f"{PREFIXES} SELECT * WHERE {{ {{ ?x ub:memberOf ?d }} UNION {{ ?x a ub:ResearchGroup }} OPTIONAL {{ ?x ub:subOrganizationOf ?d }} }}")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_numbers_are_ordered_by_value(spark):
+    terms = [literal(x, datatype="<http://www.w3.org/2001/XMLSchema#integer>") for x in ("10", "9", "100")] + [literal("b"), "<a>", literal("a")]
+    engine = Engine(TermStore(spark.createDataFrame([(node(f"x{i}"), "<http://t/p>", t) for i, t in enumerate(terms)], "s string, p string, o string")))
+    assert [r["x"][-2] for r in engine.sparql("SELECT ?x WHERE { ?x <http://t/p> ?o } ORDER BY ?o").collect()] == list("410253")
+
+
+def test_statistics_of_another_store_prove_nothing(graph):
+    statistics = collect_statistics(TermStore(graph))
+    empty = [Pattern(Var("x"), f"<{UB}memberOf>", Var("y")), Pattern(Var("x"), f"<{UB}telephone>", Var("z"))]
+    assert not Planner(TermStore(graph), statistics).is_empty(empty)

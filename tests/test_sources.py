@@ -5,12 +5,15 @@ import time
 
 import pytest
 
+from graphloom import workload
+from graphloom.config import parse_config
 from graphloom.console import Console
 from graphloom.engine import Engine
 from graphloom.plans.model import Pattern, Var
-from graphloom.sources.mapping import MappedStore, vocabulary
+from graphloom.sources.mapping import EDGES, MappedStore, vocabulary
 from graphloom.sources.ntriples import encode_ids, predicate_catalogue, read_dictionary, read_id_triples, read_ntriples, write_encoded, write_id_triples, write_ntriples
 from graphloom.sources.stores import VERTEX, DictStore, TermStore
+from graphloom.storage import materialize, numbered, scope
 from graphloom.streaming.append import append_triples, completed_by, stream_triples
 from graphloom.terms import RDF_TYPE
 from graphloom.workload import read_mix, run_mix
@@ -74,6 +77,35 @@ def test_stream_appends_once_and_completes_a_pattern(spark, tmp_path):
     assert {tuple(r) for r in spark.table("found").select("x", "y", "z").collect()} == {("<x1>", "<y1>", "<z>")}
 
 
+def test_settings_act(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    engine = Engine(MappedStore(spark, SF, {k: v for k, v in EDGES.items() if k in (RDF_TYPE, vocabulary("inRegion"))}))
+    (tmp_path / "off").write_text("use_statistics 0\n")
+    out = io.StringIO()
+    console = Console(engine, parse_config("use_statistics 1\nshuffle_partitions 3"), out)
+    assert engine.statistics is not None and spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    console.run([f"reload-config {tmp_path / 'off'}"])
+    assert engine.statistics is None and not out.getvalue()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_instances_beyond_what_is_kept_are_looked_up(spark, monkeypatch):
+    engine = Engine(MappedStore(spark, SF))
+    for kept in (100, 3):
+        monkeypatch.setattr(workload, "KEPT_INSTANCES", kept)
+        found = workload.Instances(engine, vocabulary("Nation"))
+        assert len(found) == 25 and [found[i] for i in (0, 24)] == ["<http://t/nation/0>", "<http://t/nation/9>"]
+
+
+def test_written_tables_go_with_their_scope(spark):
+    with scope(spark) as keep:
+        gone, kept = materialize(spark.range(3), "gone"), keep(materialize(spark.range(4), "kept"))
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="not exist|NOT_EXIST|FileNotFound"):
+        spark.read.parquet(gone.scratch_path).count()
+    assert [r["id"] for r in numbered(spark.createDataFrame([("b",), ("a",), ("c",)], "str string"), 5).orderBy("str").collect()] == [5, 6, 7]
+
+
 def test_console_and_mix(spark, tmp_path):
     engine = Engine(MappedStore(spark, SF))
     (tmp_path / "light").write_text(f"SELECT ?x WHERE {{ ?x {vocabulary('inRegion')} %{vocabulary('Region')} <- }}")
