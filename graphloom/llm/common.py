@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 from pathlib import Path
 from typing import Any
 
@@ -15,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize, scope, scratch_path, setting
+
+__all__ = ["ARROW_BATCH", "SPACE", "WORD", "batches", "discard", "fresh", "is_scan", "materialize", "prepare", "scope", "scratch_path", "setting", "table", "texts", "with_row_id", "words"]
+
 #: White space that separates words, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 #: Largest Arrow batch that is handed to Python, so that long texts don't add up.
 ARROW_BATCH = 8 << 20
-#: Setting by which Spark deletes the shuffle files of a write once it has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -35,88 +33,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset a local session gets a temporary folder; a cluster gets an error, as a
-    folder of one machine would lose rows there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = Path(tempfile.mkdtemp(prefix="graphloom-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/graphloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-#: Folders written in each open scope, the innermost last.
-_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
-
-
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A setting of the session for the time of a block."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that outlives executors.
-
-    Shuffle files of the write go with its end. The folder goes with the scope that it is written in, if any.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    with setting(spark, _CLEANUP, "true"):
-        df.write.parquet(path)
-    if scopes := _SCOPES.get():
-        scopes[-1].append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[Any]:
-    """Tables that ``materialize`` writes inside are deleted at the end, but for those passed to the yielded ``keep``.
-
-    A kept table belongs to the scope around. Only what was read from is deleted, after the tables
-    made of it are written, so that lost executors need none of it.
-    """
-    written: list[str] = []
-    kept: list[str] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df.scratch_path)
-        return df
-
-    token = _SCOPES.set((*_SCOPES.get(), written))
-    try:
-        yield keep
-    finally:
-        _SCOPES.reset(token)
-        if scopes := _SCOPES.get():
-            scopes[-1].extend(kept)
-        for path in written:
-            if path not in kept:
-                discard(spark, path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,5 +36,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (row["n"], row["x"]) == before or not row["n"]:
             break
         before = (row["n"], row["x"])
-        now = materialize(_star(_star(now, True), False), "edges")
+        read, now = now, materialize(_star(_star(now, True), False), "edges")
+        discard(edges.sparkSession, read.scratch_path)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

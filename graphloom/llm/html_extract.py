@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, prepare, table, texts
+from .common import batches, materialize, prepare, scope, table, texts
 from .html_page import Page
 
 
@@ -36,7 +36,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             of, path, share = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(path, pa.string()), pa.array(share, pa.float64())], ["host", "path", "share"])
 
-    cast = pages.select(host(F.col(url)).alias("host"), html).mapInArrow(vote, "host string, path string, share double")
+    cast = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`")).mapInArrow(vote, "host string, path string, share double")
     # whole millionths, so that sums don't depend on their order
     sums = cast.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"))
     return sums.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
@@ -46,17 +46,19 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     """``keep`` columns (all) of ``pages``, ``text`` and ``n_chars``."""
     prepare(pages.sparkSession)
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("text", "n_chars")]
-    winners = materialize(host_paths(pages, url, html), "paths").select(F.col("host").alias("host_"), F.col("path").alias("path_"))
+    plain = [f"c{i}" for i in range(len(keep))]
+    with scope(pages.sparkSession) as kept:
+        winners = kept(materialize(host_paths(pages, url, html), "paths")).select("host", "path")
     # broadcast only if the written table is small enough for Spark; beyond, a join whose skewed hosts Spark splits
-    joined = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias("html_"), host(F.col(f"`{url}`")).alias("host_")).join(winners, "host_", "left")
+    joined = pages.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, keep)], F.col(f"`{html}`").alias("html"), host(F.col(f"`{url}`")).alias("host")).join(winners, "host", "left")
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             found = [Page(x).text(path) for x, path in zip(texts(batch.column(len(keep))), batch.column(len(keep) + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*keep, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*plain, "text", "n_chars"])
 
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "html_", "path_").mapInArrow(read, f"{kinds}, text string, n_chars long")
+    kinds = "".join(f"{p} {pages.schema[c].dataType.simpleString()}, " for p, c in zip(plain, keep))
+    return joined.select(*plain, "html", "path").mapInArrow(read, f"{kinds}text string, n_chars long").toDF(*keep, "text", "n_chars")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,9 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 TITLES = frozenset("h1 h2".split())
 CONTENT_WORDS = frozenset("article body content entry main page post story text".split())
 
+#: What a character in a link counts for beside one of running text.
+LINK_WEIGHT = 0.1
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -256,16 +259,16 @@ class Page:
                 return
 
     def scores(self) -> list[float]:
-        """Characters of each container's own blocks, half of those one container further down, and so on."""
+        """Characters of each container's own blocks, half of those one container further down, and so on; those of links hardly count."""
         own = [0.0] * len(self.path)
-        for text, container in self.blocks:
-            own[container] += len(text)
+        for (text, container), (linked, _) in zip(self.blocks, self.links):
+            own[container] += len(text) - (1 - LINK_WEIGHT) * min(linked, len(text))
         for i in range(len(own) - 1, 0, -1):
             own[self.parent[i]] += 0.5 * own[i]
         return [s * b for s, b in zip(own, self.bonus)]
 
-    def votes(self, most: int = 3) -> list[tuple[str, float]]:
-        """Paths of the best containers with their shares of the sum of all scores."""
+    def votes(self, most: int | None = None) -> list[tuple[str, float]]:
+        """Paths of containers, the best first (``most`` of them, or all), with their shares of the sum of all scores."""
         by_path: dict[str, float] = {}
         for path, score in zip(self.path[1:], self.scores()[1:]):
             by_path[path] = max(by_path.get(path, 0.0), score)

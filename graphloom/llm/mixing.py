@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, prepare, table, with_row_id
+from .common import WORD, materialize, prepare, scope, table, with_row_id
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -179,7 +179,7 @@ def _measured(marked: DataFrame, doc_id: str, text: str, source: str, seed: int
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """Written (row_file, row_index, doc_id, source, size, draw) of all documents."""
     prepare(docs.sparkSession)
-    return _measured(with_row_id(docs.select(doc_id, text, source), "row_file", "row_index"), doc_id, text, source, seed)
+    return _measured(with_row_id(docs.select(*[F.col(f"`{c}`") for c in (doc_id, text, source)]), "row_file", "row_index"), doc_id, text, source, seed)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how: object) -> DataFrame:
@@ -188,8 +188,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     marked = with_row_id(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), "row_file", "row_index")
     at = {c.lower(): f"c{i}" for i, c in enumerate(names)}
     prepare(docs.sparkSession)
-    chosen = takes(_measured(marked, at[doc_id.lower()], at[text.lower()], at[source.lower()]), **how).where("times > 0")
-    drawn = marked.join(chosen.select("row_file", "row_index", "times").hint("merge"), ["row_file", "row_index"])
+    with scope(docs.sparkSession) as keep:
+        chosen = takes(_measured(marked, at[doc_id.lower()], at[text.lower()], at[source.lower()]), **how).where("times > 0")
+        chosen = keep(materialize(chosen.select("row_file", "row_index", "times"), "takes"))
+    drawn = marked.join(chosen, ["row_file", "row_index"])
     drawn = drawn.withColumn("pass_", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return drawn.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 

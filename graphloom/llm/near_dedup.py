@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, prepare, table, texts, with_row_id
+from .common import batches, materialize, prepare, scope, table, texts, with_row_id
 from .components import connected_components
 from .fingerprints import simhash
 
@@ -39,7 +39,7 @@ def with_fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], signed], [*keep, "fp"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text).mapInArrow(compute, f"{kinds}, fp long")
+    return docs.select(*[F.col(f"`{c}`") for c in (*keep, text)]).mapInArrow(compute, f"{kinds}, fp long")
 
 
 def _half(upper: int) -> Column:
@@ -85,10 +85,16 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     marked = with_row_id(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), "row_file", "row_index")
     at = {c.lower(): f"c{i}" for i, c in enumerate(names)}
     ident = at[doc_id.lower()]
-    printed = materialize(with_fingerprints(marked, at[text.lower()], ["row_file", "row_index", ident]), "fingerprints")
+    with scope(docs.sparkSession) as keep:
+        printed = materialize(with_fingerprints(marked, at[text.lower()], ["row_file", "row_index", ident]), "fingerprints")
+        kept = keep(materialize(_first_rows(printed, ident), "first_rows"))
+    return marked.join(kept, ["row_file", "row_index"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def _first_rows(printed: DataFrame, ident: str) -> DataFrame:
+    """row_file and row_index of the one row of each component that stays."""
     order = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), F.col("row_file").alias("f"), F.col("row_index").alias("i"))
-    kept = components(printed, order).where(F.col("least").isNull() | (F.col("least") == order)).select("row_file", "row_index")
-    return marked.join(kept.hint("merge"), ["row_file", "row_index"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return components(printed, order).where(F.col("least").isNull() | (F.col("least") == order)).select("row_file", "row_index")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ sequence that they fill most, which a segment tree over remaining capacities fin
 steps that is logarithmic in the capacity.
 
 Defined results: a null or empty text is one piece of the end id alone; texts of any length are
-encoded whole; repeated rows are packed as often as they occur; ties in length go by arrival; a
+encoded whole; repeated rows are packed as often as they occur; ties in length go by checksum, then doc_id; a
 null ``doc_id`` stays null; an empty table gives no pieces; other columns are left out.
 """
 
@@ -110,7 +110,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
             columns = [batch.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), numbers]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(doc_id, text).mapInArrow(encode, schema)
+    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(encode, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -119,6 +119,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     schema = T.StructType([f for f in pieces.schema.fields if f.name != "deal"]).add("sequence_id", T.LongType()).add("offset", T.LongType())
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ids_crc32", "doc_id", "piece", "deal"], kind="stable", ignore_index=True)
         bins, offsets = best_fit_decreasing(rows["length"].to_numpy(), capacity)
         return rows.drop(columns=["deal", "shard"]).assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 

@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_train)
-    chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")  # max_train rows of 16 bytes at most
+    chosen = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "id")  # max_train rows of 16 bytes at most
     chosen = chosen.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +110,12 @@ def with_scores(docs: DataFrame, model: Boosted, text: str = "text", keep: list[
     def compute(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             score = model.score(_matrix(batch.column(len(keep))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*plain, "score", "predicted"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text_")).mapInArrow(compute, f"{kinds}, score double, predicted int")
+    plain = [f"c{i}" for i in range(len(keep))]
+    kinds = "".join(f"{p} {docs.schema[c].dataType.simpleString()}, " for p, c in zip(plain, keep))
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, keep)], F.col(f"`{text}`").alias("whole_text"))
+    return rows.mapInArrow(compute, f"{kinds}score double, predicted int").toDF(*keep, "score", "predicted")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

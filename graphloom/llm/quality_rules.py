@@ -61,11 +61,11 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     Windows of three words are compared by a chained 64-bit hash within one document.
     """
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_exclaim")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in results and c != text])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in results or c == text])
     w, t, ln, h, win, srt, rep = fresh(docs, "w", "t", "ln", "h", "win", "srt", "rep")
-    kept = docs.columns
+    kept = [F.col(f"`{c}`") for c in docs.columns]
     # each step refers to the arrays of the step before at least twice, so that they are computed once a row
-    step = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    step = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
     step = step.withColumn(w, words(F.col(t))).withColumn(ln, F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     step = step.select(
         *kept,

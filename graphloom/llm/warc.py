@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, prepare, scratch_path, table
+from .common import batches, materialize, prepare, scratch_path, table, with_row_id
 from .merging import merge_runs
 
 #: Compressed bytes after which an archive is closed.
@@ -60,22 +60,24 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(ident: str | None) -> str:
-    return "<urn:page:null>" if ident is None else f"<urn:page:id:{quote(ident, safe='')}>"
+def _record_id(ident: str | None, row: str) -> str:
+    """Of a page and the row that it stands in, as page ids may repeat."""
+    return f"<urn:page:{row}:null>" if ident is None else f"<urn:page:{row}:id:{quote(ident, safe='')}>"
 
 
 def _ident(record_id: str) -> str | None:
-    return None if record_id == "<urn:page:null>" else unquote(record_id.removeprefix("<urn:page:id:")[:-1])
+    kind, *ident = record_id[len("<urn:page:") : -1].split(":", 2)[1:]
+    return None if kind == "null" else unquote(ident[0])
 
 
-def record(ident: str | None, url: str | None, seconds: int, payload: bytes, first: str | None, revisit: bool) -> bytes:
+def record(ident: str | None, row: str, url: str | None, seconds: int, payload: bytes, first: str | None, first_row: str | None, revisit: bool) -> bytes:
     """One record as a gzip member of its own; a revisit has the response's headers without its payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(ident)}",
+        f"WARC-Record-ID: {_record_id(ident, row)}",
         f"WARC-Date: {datetime.fromtimestamp(seconds, UTC):%Y-%m-%dT%H:%M:%SZ}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         "Content-Type: application/http; msgtype=response",
@@ -84,7 +86,7 @@ def record(ident: str | None, url: str | None, seconds: int, payload: bytes, fir
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe='%/:=&?~#+!$,;@()*[]' + chr(39))}")
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(first)}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(first, first_row)}"]
     pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
@@ -133,11 +135,12 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     prepare(spark)
     folder = scratch_path(spark, "warc")
     when = F.lit(FIRST_CAPTURE) + F.coalesce(F.pmod(F.col(page_id).try_cast("long"), F.lit(1_000_000_000)), F.lit(0)) if seconds is None else seconds
-    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), _bytes(F.col(html)).alias("payload"), when.cast("long").alias("seconds"))
+    plain = with_row_id(pages.select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{url}`").alias("url"), _bytes(F.col(f"`{html}`")).alias("payload"), when.cast("long").alias("seconds")), "row_file", "row_index")
+    rows = plain.withColumn("row", F.concat_ws("-", F.lower(F.hex("row_file")), "row_index"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
-    equal = rows.where(F.octet_length("payload") >= MIN_REVISIT_BYTES).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    equal = rows.where(F.octet_length("payload") >= MIN_REVISIT_BYTES).groupBy("sha1").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("first"), F.count("*").alias("n"))
     # broadcast only if the written table of repeated payloads is small enough for Spark; beyond, a join whose skewed payloads Spark splits
-    firsts = materialize(equal.where("n > 1").select("sha1", "first"), "firsts")
+    firsts = materialize(equal.where("n > 1").select("sha1", "first.id", "first.row").toDF("sha1", "first", "first_row"), "firsts")
     rows = rows.join(firsts, "sha1", "left").withColumn("revisit", F.coalesce(~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
 
     def write(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +149,11 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         out, path, number, count, attempt = None, "", 0, 0, TaskContext.get().taskAttemptId()
         done = []
         for batch in batches(batched):
-            for ident, address, payload, second, first, revisit in zip(*(c.to_pylist() for c in batch.columns)):
+            for ident, row, address, payload, second, first, first_row, revisit in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     path = f"{root}/part-{TaskContext.get().partitionId():06d}-{attempt}-{number}.warc.gz"
-                    out, count = store.open_output_stream(path), 0
-                out.write(record(ident, address, second, payload, first, revisit))
+                    out, count = store.open_output_stream(path, compression=None), 0
+                out.write(record(ident, row, address, second, payload, first, first_row, revisit))
                 count += 1
                 if out.tell() >= ARCHIVE_BYTES:
                     done.append((path, count, out.tell()))
@@ -162,7 +165,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), [pa.string(), pa.int64(), pa.int64()])], ["archive", "records", "bytes"])
 
-    text_ids = rows.select(F.col("id").cast("string"), "url", "payload", "seconds", F.col("first").cast("string"), "revisit")
+    text_ids = rows.select(F.col("id").cast("string"), "row", "url", "payload", "seconds", F.col("first").cast("string"), "first_row", "revisit")
     manifest = text_ids.mapInArrow(write, "archive string, records long, bytes long")
     return materialize(manifest.withColumn("folder", F.lit(folder)), "manifest")
 
@@ -175,7 +178,7 @@ def capture_runs(manifest: DataFrame) -> DataFrame:
         for batch in batches(batched):
             for archive, folder in zip(*(c.to_pylist() for c in batch.columns)):
                 store, _ = fs.FileSystem.from_uri(folder)
-                with store.open_input_stream(archive, buffer_size=1 << 20) as stream:
+                with store.open_input_stream(archive, compression=None, buffer_size=1 << 20) as stream:
                     run = [capture(archive, *found) for found in read_records(stream)]
                 run.sort(key=lambda x: (x[0], x[1], x[2] or "", x[4]))
                 yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, x)) for x in run], schema=_arrow())

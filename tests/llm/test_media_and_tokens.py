@@ -28,6 +28,60 @@ def test_media_round_trip(contents):
     assert files == media.encode_media(payloads)
 
 
+def read_lossless_jpeg(data):
+    """Samples of a lossless JPEG image of one component, bit by bit as the standard has it."""
+    assert data[:2] == b"\xff\xd8" and data[-2:] == b"\xff\xd9"
+    at, codes, rows, width = 2, {}, 0, 0
+    while True:
+        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xC3:
+            assert body[0] == 8 and body[5] == 1
+            rows, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+        elif marker == 0xC4:
+            code, symbols = 0, iter(body[17:])
+            for bits, count in enumerate(body[1:17], 1):
+                for _ in range(count):
+                    codes[bits, code] = next(symbols)
+                    code += 1
+                code <<= 1
+        elif marker == 0xDA:
+            assert body[3] == 1  # predicted from the left neighbour
+            break
+    stream = "".join(f"{b:08b}" for b in data[at:-2].replace(b"\xff\x00", b"\xff"))
+    place, out = 0, []
+    for y in range(rows):
+        for x in range(width):
+            bits, code = 0, 0
+            while (bits, code) not in codes:
+                code, bits, place = code << 1 | int(stream[place]), bits + 1, place + 1
+            category = codes[bits, code]
+            extra = int(stream[place : place + category], 2) if category else 0
+            place += category
+            difference = extra if not category or extra >> (category - 1) else extra - (1 << category) + 1
+            before = out[-1] if x else out[-width] if y else 128
+            out.append((before + difference) & 0xFF)
+    assert set(stream[place:]) <= {"1"} and len(stream) - place < 8
+    return bytes(out)
+
+
+def test_frames_are_lossless_jpeg_images_in_an_avi_file():
+    rng = np.random.default_rng(2)
+    payload = bytes(rng.integers(0, 256, 4096 + 64 * 3, np.uint8)) + bytes(64) + b"\xff" * 64
+    data = media.encode_media([payload])[0]
+    at, found = 12, []
+    while at < len(data):  # plain walk over the chunks, without the index
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if name == b"LIST" and data[at + 8 : at + 12] == b"movi":
+            at += 12
+            continue
+        if name == b"00dc":
+            found.append(data[at + 8 : at + 8 + size])
+        at += 8 + size + (size & 1)
+    assert b"".join(map(read_lossless_jpeg, found))[: len(payload)] == payload
+
+
 def test_shots_stand_out():
     still, other = np.eye(16)[[3] * 6], np.eye(16)[[9] * 4]
     assert media.shots(np.concatenate([still, other])) == [(0, 6), (6, 10)]
@@ -81,6 +135,27 @@ def test_line_starts_tile_the_text(text):
     assert [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])] == (text.splitlines(True) if "\n" in text or text else [""])
 
 
+def test_tokens_of_each_section_against_brute_force(spark, whole):
+    data = [r for r in rows() if len(r[1] or "") < 5_000]
+    got = sorted((str(r["doc_id"]), r["section"], r["first_char"], r["end_char"], r["n_tokens"], r["n_crossing"]) for r in section_counts(frame(spark, data), RANKS, PATTERN).collect())
+    want = []
+    for r in data:
+        text = r[1] or ""
+        spans, a = [], 0
+        for line in text.splitlines(True) if "\n" in text and not set("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") & set(text) else [text]:
+            spans.append((a, a + len(line)))
+            a += len(line)
+        tokens = [0] * len(spans)
+        crossing = [0] * len(spans)
+        for first, last in whole.encode(text, add_special_tokens=False).offsets:
+            shares = [max(0, min(last, e) - max(first, b)) for b, e in spans]
+            k = shares.index(max(shares))
+            tokens[k] += 1
+            crossing[k] += sum(x > 0 for x in shares) > 1
+        want += [(str(r[0]), k, b, e, t, c) for k, ((b, e), t, c) in enumerate(zip(spans, tokens, crossing))]
+    assert got == sorted(want)
+
+
 def test_section_counts(spark, whole):
     for rule in ("majority", "first"):
         got = section_counts(frame(spark), RANKS, PATTERN, rule=rule).collect()

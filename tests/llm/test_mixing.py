@@ -7,6 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import materialize
 from graphloom.llm.mixing import bounded_knapsack, even_share, fit_budget, measured, mix, takes
 
 from .helpers import SCHEMA, WORD, empty, frame, row, rows
@@ -100,6 +103,17 @@ def test_reruns_agree_and_hot_lengths_are_cut(spark):
     assert abs(sum(3 * t for i, t in first if i < 5000) - target["a"]) <= 3
 
 
+def test_rows_of_derived_frames_are_told_apart(spark):
+    data = rows()
+    read = spark.read.parquet(materialize(frame(spark), "docs").scratch_path)
+    by, target = expected(data * 2)
+    for twice in (read.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy"), read.union(read)):
+        words = Counter()
+        for r in mix(twice).collect():
+            words[r["source"]] += len(WORD.findall(r["text"] or ""))
+        assert all(abs(words[s] - target[s]) <= (40_000 if s == "s2" else 5) for s in by)
+
+
 def test_mix_repeats_whole_rows(spark):
     data = rows()
     out = mix(frame(spark))

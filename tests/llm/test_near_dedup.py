@@ -73,6 +73,15 @@ def test_long_chain_is_one_component(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_rows_of_derived_frames_are_told_apart(spark):
+    docs = frame(spark)
+    kept = near_dedup(docs).count()
+    path = materialize(docs, "docs").scratch_path
+    read = spark.read.parquet(path)
+    for twice in (read.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy"), read.union(read), read.join(spark.range(2).withColumnRenamed("id", "copy"))):
+        assert near_dedup(twice).count() == kept
+
+
 def test_one_row_of_each_component_stays(spark):
     data = rows()
     kept = near_dedup(frame(spark))

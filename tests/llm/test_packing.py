@@ -76,6 +76,13 @@ def test_pieces_and_sequences(spark, whole):
     assert pack_documents(empty(spark), default_tokenizer()).count() == 0
 
 
+def test_ties_go_by_content(spark):
+    pieces = [(i, 0, 0, 1 + i % 3, 1000 - i, i) for i in range(60)]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
+    found = [sorted(map(tuple, pack(spark.createDataFrame(p, schema).repartition(n), capacity=7).collect())) for p, n in ((pieces, 1), (pieces[::-1], 3))]
+    assert found[0] == found[1]
+
+
 def test_several_shards(spark):
     pieces = materialize(encode_pieces(frame(spark), default_tokenizer()), "pieces")
     got = pack(pieces, shard_pieces=10).collect()

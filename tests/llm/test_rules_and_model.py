@@ -46,6 +46,33 @@ def test_table_decides(spark):
     assert extra.columns.count("n_words") == 1 and extra.where("n_words > 50").count() == 3
 
 
+def test_columns_named_like_inner_ones(spark):
+    data = spark.createDataFrame([(1, "a b c", 4, 5, 6)], "doc_id long, text string, text_ int, `a.b` int, SCORE int")
+    out = apply_rules(data)
+    assert out.columns[:5] == data.columns and out.first()["a.b"] == 5 and out.first()["n_words"] == 3
+    scored = with_scores(data, fit(np.zeros((0, N_FEATURES)), np.zeros(0)))
+    assert scored.columns == ["doc_id", "text", "text_", "a.b", "score", "predicted"] and tuple(scored.first()) == (1, "a b c", 4, 5, 0.5, 1)
+
+
+def test_statistics_by_hand():
+    text = "The cat\nthe CAT sat 42!\n\nThe cat"
+    found = statistics(text)
+    n, size = 8, len(text)
+    lengths = [3, 3, 3, 3, 3, 3, 3, 3]
+    byte = {c: text.count(c) for c in set(text)}
+    entropy = -sum(v / size * np.log2(v / size) for v in byte.values())
+    want = [np.log1p(n), size / n, np.std(lengths), 3, 5 / size, 16 / size, 2 / size, 0, 1 / n, 1 / n, 0, 6 / n, 6 / n**0.8, 0.0, 1 / n, 3, n / 3, 1 / 3, 1 / 3, entropy]
+    assert np.allclose(found, want)
+
+
+def test_one_tree_by_hand():
+    x, label = np.array([[0.0], [1.0], [2.0], [3.0]]), np.array([0.0, 0.0, 1.0, 1.0])
+    model = fit(x, label, trees=1, depth=1, rate=0.5, bins=4, least=1, penalty=1.0)
+    # gradients are half a label off on each side, hessians a quarter: leaves of -1 / (0.5 + 1) and 1 / (0.5 + 1), halved
+    assert model.base == 0 and 1 <= model.cut[0, 0] < 2 and np.allclose(model.value[0], [-1 / 3, 1 / 3])
+    assert np.allclose(model.score(x), 1 / (1 + np.exp([1 / 3, 1 / 3, -1 / 3, -1 / 3])))
+
+
 @given(st.text(max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_statistics_are_finite(text):

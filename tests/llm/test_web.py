@@ -86,9 +86,23 @@ def test_archives_round_trip(spark, monkeypatch):
     assert read_back(history) == records(web())
 
 
+def test_record_ids_are_unique_and_revisits_name_a_response(spark):
+    import gzip
+
+    data = [(1, "http://a/", "same"), (1, "http://a/", "same"), (1, "http://a/", "other"), (2, "http://b/", "same"), (None, None, "same"), (None, None, None), (None, None, None)]
+    manifest = warc.write_archives(pages(spark, data)).collect()
+    heads = [x.split("\r\n\r\n")[0] for r in manifest for x in gzip.open(r["archive"].removeprefix("file:"), "rt", newline="").read().split("WARC/1.1\r\n")[1:]]
+    fields = [dict(line.split(": ", 1) for line in h.split("\r\n")) for h in heads]
+    ids = {f["WARC-Record-ID"] for f in fields}
+    assert len(ids) == len(data)
+    revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+    responses = {f["WARC-Record-ID"]: f["WARC-Payload-Digest"] for f in fields if f["WARC-Type"] == "response"}
+    assert len(revisits) == 2 and all(responses[f["WARC-Refers-To"]] == f["WARC-Payload-Digest"] for f in revisits)
+
+
 def test_empty_and_broken_archives(spark, tmp_path):
     assert warc.capture_histories(warc.capture_runs(warc.write_archives(pages(spark, [])))).count() == 0
-    data = warc.record("1", "http://a/", 0, b"payload", None, False)
+    data = warc.record("1", "f-0", "http://a/", 0, b"payload", None, None, False)
 
     def read(content):
         from pyarrow import BufferReader
@@ -183,6 +197,45 @@ def test_hosts_keep_headings_and_leads(spark):
     assert all(found[i] == f"T{i}\nlead\n{LONG * (i % 3)}end" for i in range(6))
 
 
+def test_links_dont_make_a_container_the_main_one():
+    menu = "<a href=x>an entry of some words</a> " * 40
+    assert Page(f"<body><div class=list>{menu}</div><div class=text>{LONG}</div>").text(None) == LONG.strip()
+
+
+def test_votes_and_second_reading_against_brute_force(spark):
+    rng = random.Random(4)
+    blocks = ["alpha", "post", "box", "col"]
+
+    def page(k):
+        order = rng.sample(blocks, 4)
+        return "<body>" + "".join(f"<div class='{c}{rng.randrange(9)}'><p>{'word ' * rng.randrange(1, 40 if c != blocks[k % 4] else 200)}</p></div>" for c in order)
+
+    data = [(i, f"http://h{i % 5}.org/{i}", page(i % 5)) for i in range(60)] + [(100, "http://h0.org/x", None), (101, "http://h1.org/y", "<p>no container</p>")]
+    votes = {}
+    for _, url, source in data:
+        # shares of the scores of all containers, without a limit on how many paths a page votes for
+        one = Page(source or "")
+        best = {}
+        for path, score in zip(one.path[1:], one.scores()[1:]):
+            best[path] = max(best.get(path, 0), score)
+        for path, score in best.items():
+            key = (url[7:9], path)
+            votes[key] = votes.get(key, 0) + round(score / sum(best.values()) * 1_000_000)
+    want = {h: min((p for g, p in votes if g == h), key=lambda p: (-votes[h, p], p)) for h in {h for h, _ in votes}}
+    frame = pages(spark, data)
+    assert {r["host"][:2]: r["path"] for r in host_paths(frame).collect()} == want
+    found = {r["page_id"]: r["text"] for r in extract(frame).collect()}
+    assert found == {i: Page(x or "").text(want[u[7:9]]) for i, u, x in data}
+    inside = next(i for i, u, x in data if want[u[7:9]].split(".")[-1].rstrip("#") in (x or "") and i < 60)
+    assert found[inside]
+
+
+def test_columns_named_like_inner_ones(spark):
+    data = spark.createDataFrame([("http://a.org/", "<p>hello</p>", 1, 2, 3, 4)], "url string, html string, host_ int, HTML_ int, path_ int, `a.b` int")
+    out = extract(data)
+    assert out.columns == [*data.columns, "text", "n_chars"] and tuple(out.first()) == ("http://a.org/", "<p>hello</p>", 1, 2, 3, 4, "hello", 5)
+
+
 @given(st.text(alphabet="<>/ab p='\"!-&;", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_any_text_is_read(html):
