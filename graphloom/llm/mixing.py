@@ -191,7 +191,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     with scope(docs.sparkSession) as keep:
         chosen = takes(_measured(marked, at[doc_id.lower()], at[text.lower()], at[source.lower()]), **how).where("times > 0")
         chosen = keep(materialize(chosen.select("row_file", "row_index", "times"), "takes"))
-    drawn = marked.join(chosen, ["row_file", "row_index"])
+    # by sort-merge at every size, as what is taken grows with the corpus
+    drawn = marked.join(chosen.hint("merge"), ["row_file", "row_index"])
     drawn = drawn.withColumn("pass_", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return drawn.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 

@@ -88,7 +88,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     with scope(docs.sparkSession) as keep:
         printed = materialize(with_fingerprints(marked, at[text.lower()], ["row_file", "row_index", ident]), "fingerprints")
         kept = keep(materialize(_first_rows(printed, ident), "first_rows"))
-    return marked.join(kept, ["row_file", "row_index"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    # by sort-merge at every size, as what stays grows with the corpus
+    return marked.join(kept.hint("merge"), ["row_file", "row_index"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _first_rows(printed: DataFrame, ident: str) -> DataFrame:
